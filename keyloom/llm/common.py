@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        target = f"{tempfile.mkdtemp(prefix='keyloom-')}/{top.name}.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted(top.rglob("*.py")):
+                out.write(path, path.relative_to(top.parent))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def hot_limit(total: int) -> int:
     return max(HOT_ROWS, total // HOT_KEYS)
 
