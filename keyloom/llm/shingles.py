@@ -18,7 +18,7 @@ _SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
     n = 1 << bits
     out = []
@@ -44,7 +44,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def span_hashes(data: np.ndarray, lo: int, hi: int):
     """A function from starts and ends within lo..hi to 64-bit hashes of those bytes, A-Z in lower case."""
-    up, down = _powers(max(22, int(hi - lo + 1).bit_length()))
+    up, down = powers(max(22, int(hi - lo + 1).bit_length()))
     sums = np.zeros(hi - lo + 1, np.uint64)
     np.cumsum((_FOLD[data[lo:hi]].astype(np.uint64) + _U(1)) * up[: hi - lo], out=sums[1:])
 
