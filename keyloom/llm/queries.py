@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fuzzy_hash, html_extract, minhash, mixing, secrets, warc
+from . import bpe, exact_dedup, fuzzy_hash, html_extract, minhash, mixing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fuzzy_hash": op4_fuzzy_hash,
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
