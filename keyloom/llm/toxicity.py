@@ -15,7 +15,7 @@ from .common import chunks, map_arrow, mix64, text_buffers
 from .shingles import powers
 
 #: Rows of the training sample at most, and code points of a text in it at most.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 BUCKETS, DIM, GRAMS = 1 << 20, 4, (3, 4, 5)
 EPOCHS, RATE, SHARPNESS = 60, 0.3, 60.0
 #: Texts at the overall share of ones that are added to each subword's counts.
@@ -36,6 +36,7 @@ class Bags:
     first: np.ndarray  # occurrence of each text (len + 1)
     gram: np.ndarray  # bucket
     begin: np.ndarray  # of each distinct word in gram (len + 1)
+    key: np.ndarray  # hash of each distinct word
 
 
 def _hashes(points: np.ndarray):
@@ -54,7 +55,7 @@ def bags(texts: list[str]) -> Bags:
     starts, ends = edge[::2], edge[1::2]
     at = np.cumsum([0, *(len(t) + 1 for t in low)])
     first = np.searchsorted(starts, at)
-    _, sample, word = np.unique(_hashes(points)(starts, ends), return_index=True, return_inverse=True)
+    key, sample, word = np.unique(_hashes(points)(starts, ends), return_index=True, return_inverse=True)
     starts, sizes = starts[sample], (ends - starts)[sample] + 2  # with a mark at each end
     own = np.cumsum(np.append(0, sizes))
     flat = np.full(own[-1], ord("\n"), np.uint32)
@@ -73,7 +74,34 @@ def bags(texts: list[str]) -> Bags:
     owners = np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
     gram = (np.concatenate(found)[order] % _U(BUCKETS)).astype(np.int32)
-    return Bags(word.reshape(-1), first, gram, np.searchsorted(owners[order], np.arange(len(sizes) + 1)))
+    return Bags(word.reshape(-1).astype(np.int32), first, gram, np.searchsorted(owners[order], np.arange(len(sizes) + 1)), key)
+
+
+def many_bags(texts: list[str], chars: int = 1 << 20) -> Bags:
+    """bags() of many texts, some at a time, so that memory beyond the result doesn't grow with them."""
+    parts, i = [], 0
+    while i < len(texts) or not parts:
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= chars):
+            n += len(texts[j])
+            j += 1
+        parts.append(bags(texts[i:j]))
+        i = j
+    key, sample, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    place = place.reshape(-1).astype(np.int32)
+    words, firsts, at, shift = [], [np.zeros(1, np.int64)], 0, 0
+    starts, ends, grams = [], [], 0
+    for p in parts:
+        words.append(place[at : at + len(p.key)][p.word])
+        firsts.append(p.first[1:] + shift)
+        starts.append(p.begin[:-1] + grams)
+        ends.append(p.begin[1:] + grams)
+        at, shift, grams = at + len(p.key), shift + len(p.word), grams + len(p.gram)
+    start, size = np.concatenate(starts)[sample], (np.concatenate(ends) - np.concatenate(starts))[sample]
+    begin = np.cumsum(np.append(0, size))
+    every = np.concatenate([p.gram for p in parts])
+    gram = every[np.arange(begin[-1]) + np.repeat(start - begin[:-1], size)]
+    return Bags(np.concatenate(words), np.concatenate(firsts), gram, begin, key)
 
 
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -127,7 +155,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     bias = float(np.log(prior / (1 - prior)))
     if not len(labels) or ones in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), bias)
-    b = bags(texts)
+    b = many_bags(texts)
     n_words, n_texts = len(b.begin) - 1, len(texts)
     ratio = _log_ratios(b, labels)
     size = np.diff(b.first)
@@ -139,7 +167,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     by_word = np.argsort(word, kind="stable")
     word_begin = np.searchsorted(word[by_word], np.arange(n_words + 1))
     telling = np.abs(ratio) >= LEAST_RATIO
-    holder = np.repeat(np.arange(n_words), np.diff(b.begin))[telling[b.gram]]
+    holder = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(b.begin))[telling[b.gram]]
     begin = np.searchsorted(holder, np.arange(n_words + 1))
     used, gram = np.unique(b.gram[telling[b.gram]], return_inverse=True)
     by_gram = np.argsort(gram, kind="stable")
