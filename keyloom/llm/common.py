@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import run_dir, shared_dir, written
+
+__all__ = ["WORD", "chunks", "hot_limit", "lookup", "map_arrow", "mix64", "run_dir", "shared_dir", "ship", "text_buffers", "written"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Hot keys are those with more than this share of the rows, so that there are at most so many of them.
@@ -22,27 +25,6 @@ HOT_KEYS = 100_000
 HOT_ROWS = 50
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="keyloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where it is unset (local tests only)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
-def run_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: short lineage, and no loss with an executor."""
-    path = run_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _shipped: set[str] = set()
 
 
