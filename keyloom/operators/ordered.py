@@ -39,7 +39,7 @@ def numbered(df: DataFrame, order: list[Column], into: str = "rn") -> DataFrame:
 
 
 def running(df: DataFrame, order: list[Column], value: Column, into: str) -> DataFrame:
-    """df with the running sum of an integer value through each row in a total order."""
+    """df with the running sum of an integer value through each row in a total order; both name columns, bound to no table."""
     rows = ranged(df.withColumn("_value", value.cast("long")), order)
     sums = rows.groupBy(PART).agg(F.sum("_value").alias("_sum"))
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
