@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Table, equals
@@ -64,8 +64,9 @@ def move(table: Table, kind: str, into: str = "moved") -> DataFrame:
     if kind in ("NEXT", "PREV"):
         return neighbour(df, order, into, order, kind == "NEXT")
     if kind in ("NEXT_DUP", "PREV_DUP"):
-        w = Window.partitionBy(*table.key).orderBy(*(up if kind == "NEXT_DUP" else down)(table.data))
-        return df.withColumn(into, F.lead(F.struct(*order)).over(w))
+        rows = neighbour(df, order, into, order, kind == "NEXT_DUP")  # and not a window per key, which a hot key would fill
+        same = F.struct(*table.key) == F.struct(*(F.col(f"{into}.{c}").alias(c) for c in table.key))
+        return rows.withColumn(into, F.when(same, F.col(into)))
     edges = first_of_keys(table) if kind == "NEXT_NO_DUP" else last_of_keys(table)
     beside = neighbour(edges.select(*order), list(table.key), into, order, kind == "NEXT_NO_DUP").select(*table.key, into)
     return df.join(beside, list(table.key), "left")

@@ -13,6 +13,7 @@ from ..model import Index, Table
 from ..operators import cursor, diff, dml, evolve, index, joins, ttl, views
 from ..operators.cursor import KeyRange
 from ..sources import dump, scan, stats
+from ..sources.store import Store
 from ..storage import run_dir
 from ..streaming import cdc
 
@@ -98,6 +99,23 @@ def scan_salvage(spark, d):
     return scan.salvage(read(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+@query("SELECT name, n FROM (SELECT 'backup' AS name, count(*) AS n FROM orders UNION ALL SELECT 'emptied', 0 UNION ALL SELECT 'renamed', (SELECT count(*) FROM orders))")
+def store_tables(spark, d):
+    """Tables created, renamed, truncated, copied and removed in a store; what is left, with its rows."""
+    store = Store(spark, run_dir(spark, "store"))
+    for name in ("first", "emptied", "gone"):
+        store.create(name, read(spark, d, "orders"))
+    store.rename("first", "renamed")
+    store.truncate("emptied")
+    store.remove("gone")
+    store.create("backup", store.open("renamed"))
+    counts = [store.open(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in store.names()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 # Lookups
 
 _ORDER_BY = f"ORDER BY l_orderkey, {_D} LIMIT 1"
@@ -339,6 +357,39 @@ def fk_nullify(spark, d):
     return out.df.select("c_custkey", "c_nationkey")
 
 
+def _by_customer(spark, d) -> Table:
+    """The index of orders by customer as a table of its own: primary keys are its duplicates."""
+    return Table(index.view(orders(spark, d), Index("o_custkey", "o_custkey")), ("o_custkey",), ("o_orderkey",))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS rn FROM orders")
+def idx_scan_ordered(spark, d):
+    t = _by_customer(spark, d)
+    return cursor.numbered(t.df, cursor.up(t.order))
+
+
+@query("SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS moved FROM orders")
+def idx_next_dup(spark, d):
+    return cursor.move(_by_customer(spark, d), "NEXT_DUP").select("o_custkey", "o_orderkey", F.col("moved.o_orderkey").alias("moved"))
+
+
+@query("SELECT o_custkey, o_orderkey, moved FROM orders JOIN (SELECT o_custkey, lag(top) OVER (ORDER BY o_custkey) AS moved FROM (SELECT o_custkey, max(o_orderkey) AS top FROM orders GROUP BY 1)) USING (o_custkey)")
+def idx_prev_no_dup(spark, d):
+    return cursor.move(_by_customer(spark, d), "PREV_NO_DUP").select("o_custkey", "o_orderkey", F.col("moved.o_orderkey").alias("moved"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 20")
+def idx_large_keys(spark, d):
+    return index.duplicate_counts(orders(spark, d), Index("o_custkey", "o_custkey")).where("n > 20")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 5 AND 9 AND o_orderstatus = 'F'")
+def join_range_and_index(spark, d):
+    t = orders(spark, d)
+    near = t.of(index.entities(t, Index("o_custkey", "o_custkey"), KeyRange(5, True, 9, True)))
+    return index.equality_join(near, [(Index("s", "o_orderstatus"), "F")], keys_only=True)
+
+
 # Joins and counts
 
 

@@ -9,6 +9,7 @@ from keyloom.functions import codec
 from keyloom.model import Index, Table
 from keyloom.operators import diff, dml, evolve, index, ttl, views
 from keyloom.sources import dump, stats
+from keyloom.sources.store import ExistsError, Store
 from keyloom.streaming import cdc
 
 
@@ -155,3 +156,16 @@ def test_stream_keeps_what_waits(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/events")
         cdc.replicate(spark, f"{folder}/events", schema, folder).awaitTermination()
     assert [(r.key, r.value) for r in cdc.state(spark, folder).collect()] == [(5, 1.0)]
+
+
+def test_store_refuses(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.names() == []
+    store.create("a", spark.range(3))
+    with pytest.raises(PySparkException):
+        store.create("a", spark.range(3))
+    store.create("a", spark.range(4), exclusive=False)
+    assert store.truncate("a") == 4 and store.open("a").count() == 0
+    for bad in (lambda: store.open("b"), lambda: store.remove("b"), lambda: store.rename("b", "c"), lambda: store.rename("a", "a")):
+        with pytest.raises(ExistsError):
+            bad()
