@@ -60,7 +60,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     values = [c for c in table.columns if c not in keys]
     side = table.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_v"))
     hot = side.where(F.col(f"_v.{count}") > limit).withColumnRenamed("_v", "_hot")
-    cold = side.where(F.col(f"_v.{count}") <= limit).withColumn("_s", F.lit(0).cast("long"))
+    # 0, but no constant: a constant would leave the join's keys, and the rows of hot keys would meet by key after all
+    cold = side.where(F.col(f"_v.{count}") <= limit).withColumn("_s", F.pmod(F.col(f"_v.{count}"), F.lit(1)).cast("long"))
     on = functools.reduce(lambda a, b: a & b, (rows[k] == hot[f"_k{i}"] for i, k in enumerate(keys)))
     marked = rows.join(F.broadcast(hot), on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
     nothing = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys), F.col("_hot").isNotNull())
