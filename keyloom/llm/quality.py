@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, text_buffers, written
+from .common import chunks, map_arrow, mix64, text_buffers, written
+from .shingles import powers
 
 #: Labellers, in the order of their votes: 1 good, -1 bad, 0 neither.
 LABELLERS = ("symbols", "letters", "shouting", "repeats", "variety", "sentences", "lengths", "lines", "glyphs")
@@ -20,53 +23,128 @@ TRAIN_ROWS, TRAIN_CHARS = 8000, 20_000
 HASHED = 1 << 14
 EM_ROUNDS, EPOCHS, RATE = 40, 200, 0.05
 
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-_END = re.compile(r"[.!?…][\"')\]]*$")
-
-
-def _facts(text: str) -> tuple[list[str], dict[str, float]]:
-    words = [w for w in _SPLIT.split(text) if w]
-    n = max(1, len(words))
-    marks = sum(1 for w in words if not w.isalnum() and sum(not c.isalnum() for c in w) >= 2)
-    letters = sum(map(str.isalpha, text))
-    solid = max(1, len(text) - sum(map(str.isspace, text)))
-    low = [w.lower() for w in words]
-    lines = [x for x in text.splitlines() if x.strip()]
-    return words, {
-        "n": len(words),
-        "marks": marks / n,
-        "letters": letters / solid,
-        "upper": sum(map(str.isupper, text)) / max(1, letters),
-        "again": sum(a == b for a, b in zip(low, low[1:])) / max(1, n - 1),
-        "distinct": len(set(low)) / n,
-        "glyphs": sum(not any(map(str.isalnum, w)) for w in words) / n,
-        "ends": sum(bool(_END.search(w)) for w in words) / n,
-        "mean": letters / n,
-        "lines": len(set(lines)) / max(1, len(lines)),
+#: Code points of a word that count for its shape.
+SHAPED = 40
+
+
+@functools.cache
+def _tables() -> dict[str, np.ndarray]:
+    """For each code point, what kind of character it is, and the character that stands for it in word shapes."""
+    points = [chr(c) for c in range(0x110000)]
+    out = {name: np.fromiter(map(f, points), bool, len(points)) for name, f in (("alpha", str.isalpha), ("alnum", str.isalnum), ("upper", str.isupper), ("lower", str.islower), ("digit", str.isdigit), ("white", str.isspace))}
+    shape = np.arange(len(points), dtype=np.uint32)
+    shape[out["alpha"]] = ord("x")
+    shape[out["upper"]] = ord("A")
+    shape[out["lower"]] = ord("a")
+    shape[out["digit"]] = ord("0")
+    out["shape"] = shape
+    for name, some in (("blank", " \t\n\v\f\r"), ("end", ".!?…"), ("close", "\"')]")):
+        out[name] = np.zeros(len(points), bool)
+        out[name][[ord(c) for c in some]] = True
+    return out
+
+
+@dataclass
+class Facts:
+    """Facts of several texts, a value each, and how often each hashed word shape occurs in each."""
+
+    values: dict[str, np.ndarray]
+    slots: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray  # of each text's slots (len + 1)
+
+
+def facts_of(texts: list[str]) -> Facts:
+    """All at once on arrays of code points."""
+    t = _tables()
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    starts, ends = _runs(~t["blank"][points])
+    first = np.searchsorted(starts, at)
+    n = np.diff(first)
+    some = np.maximum(n, 1)
+
+    def per_word(kind: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(kind))
+        return sums[ends] - sums[starts]
+
+    def per_text(word: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(word))
+        return sums[first[1:]] - sums[first[:-1]]
+
+    names, letters = per_word(t["alnum"][points]), per_text(per_word(t["alpha"][points]))
+    last = ends - 1
+    while len(more := np.flatnonzero(t["close"][points[last]] & (last > starts))):
+        last[more] -= 1
+    low = np.frombuffer("\n".join(x.lower() for x in texts).encode("utf-32-le"), np.uint32)
+    low_starts, low_ends = _runs(~t["blank"][low])
+    word = _hashes(low)(low_starts, low_ends)
+    owner = np.repeat(np.arange(len(texts)), n)
+    again = np.append(False, (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]))[: len(word)]
+    order = np.lexsort((word, owner))
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = (word[order][1:] != word[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    lines = [[y for y in x.splitlines() if y.strip()] for x in texts]
+
+    inside = np.zeros(len(points), bool)
+    place = np.arange(len(points)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(points)]))))
+    kinds = t["shape"][points]
+    inside[:] = ~t["blank"][points] & (place < SHAPED)
+    inside[1:] &= (kinds[1:] != kinds[:-1]) | (place[1:] == 0)
+    kept = np.append(0, np.cumsum(inside))
+    slot = (_hashes(kinds[inside])(kept[starts], kept[ends]) % np.uint64(HASHED)).astype(np.int64)
+    pair, count = np.unique(owner * HASHED + slot, return_counts=True)
+    values = {
+        "n": n,
+        "marks": per_text(ends - starts - names >= 2) / some,
+        "letters": letters / np.maximum(1, per_text(per_word(~t["white"][points]))),
+        "upper": per_text(per_word(t["upper"][points])) / np.maximum(1, letters),
+        "again": per_text(again) / np.maximum(1, n - 1),
+        "distinct": np.bincount(owner[order][fresh], minlength=len(texts)) / some,
+        "glyphs": per_text(names == 0) / some,
+        "ends": per_text(t["end"][points[last]]) / some,
+        "mean": letters / some,
+        "lines": np.array([len(set(x)) / max(1, len(x)) for x in lines]),
     }
+    return Facts(values, pair % HASHED, count, np.searchsorted(pair, np.arange(len(texts) + 1) * HASHED))
 
 
-def votes(text: str) -> list[int]:
-    """One vote per labeller; a text without words has bad votes alone."""
-    _, f = _facts(text)
-    return _votes(f)
+def _runs(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
+    return edge[::2], edge[1::2]
 
 
-def _votes(f: dict[str, float]) -> list[int]:
-    if not f["n"]:
-        return [-1] * len(LABELLERS)
-    few = f["n"] < 20  # too short for shares
-    return [
-        -1 if f["marks"] > 0.3 else 1 if f["marks"] < 0.1 else 0,
-        -1 if f["letters"] < 0.75 else 1 if f["letters"] > 0.9 else 0,
-        -1 if f["upper"] > 0.5 else 1 if f["upper"] < 0.2 else 0,
-        -1 if f["again"] > 0.2 else 1 if f["again"] < 0.05 else 0,
-        0 if few or f["n"] > 3000 else -1 if f["distinct"] < 0.25 else 1 if f["distinct"] > 0.4 else 0,
-        0 if few else -1 if f["ends"] < 0.005 else 1 if f["ends"] > 0.02 and f["marks"] < 0.3 else 0,
-        -1 if f["mean"] < 2 or f["mean"] > 25 else 1 if 3 <= f["mean"] <= 15 else 0,
-        0 if few else -1 if f["lines"] < 0.5 else 1 if f["lines"] > 0.7 else 0,
-        -1 if f["glyphs"] > 0.2 else 1 if f["glyphs"] < 0.05 else 0,
-    ]
+def _hashes(points: np.ndarray):
+    up, down = powers(max(22, int(len(points) + 1).bit_length()))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    return lambda s, e: mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+
+
+def votes(f: Facts) -> np.ndarray:
+    """A row per text, a vote per labeller; a text without words has bad votes alone."""
+    v = f.values
+    few = v["n"] < 20  # too short for shares
+
+    def vote(bad: np.ndarray, good: np.ndarray, abstain: np.ndarray | bool = False) -> np.ndarray:
+        return np.where(abstain, 0, np.where(bad, -1, np.where(good, 1, 0)))
+
+    out = np.stack(
+        [
+            vote(v["marks"] > 0.3, v["marks"] < 0.1),
+            vote(v["letters"] < 0.75, v["letters"] > 0.9),
+            vote(v["upper"] > 0.5, v["upper"] < 0.2),
+            vote(v["again"] > 0.2, v["again"] < 0.05),
+            vote(v["distinct"] < 0.25, v["distinct"] > 0.4, few | (v["n"] > 3000)),
+            vote(v["ends"] < 0.005, (v["ends"] > 0.02) & (v["marks"] < 0.3), few),
+            vote((v["mean"] < 2) | (v["mean"] > 25), (v["mean"] >= 3) & (v["mean"] <= 15)),
+            vote(v["lines"] < 0.5, v["lines"] > 0.7, few),
+            vote(v["glyphs"] > 0.2, v["glyphs"] < 0.05),
+        ],
+        axis=1,
+    )
+    out[v["n"] == 0] = -1
+    return out.astype(np.int64)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -100,58 +178,29 @@ def posterior(patterns: np.ndarray, table: np.ndarray, share: float) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def _shape(word: str) -> str:
+@functools.cache
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % HASHED
+
+
+def features(f: Facts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of each text, as slots and values: shares of word shapes, and bins of the facts."""
     out = []
-    for c in word[:40]:
-        s = "a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)
-
-
-def _hash(name: str) -> int:
-    h = 2166136261
-    for b in name.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return h % HASHED
-
-
-class Hasher:
-    """Hashed features of texts: shares of word shapes and of repeated words, and bins of whole-text shares."""
-
-    def __init__(self) -> None:
-        self.shapes: dict[str, int] = {}
-
-    def _slot(self, name: str) -> int:
-        if name not in self.shapes:
-            if len(self.shapes) > 100_000:
-                self.shapes.clear()
-            self.shapes[name] = _hash(name)
-        return self.shapes[name]
-
-    def features(self, words: list[str], facts: dict[str, float]) -> tuple[list[int], list[float]]:
-        known: dict[str, int] = {}
-        for w in words:
-            known[w] = known.get(w, 0) + 1
-        total: dict[int, float] = {}
-        n = max(1, len(words))
-        for w, count in known.items():
-            s = self._slot("shape " + _shape(w))
-            total[s] = total.get(s, 0) + count / n
-        for name in ("marks", "letters", "upper", "again", "distinct", "ends", "mean", "lines", "glyphs"):
-            value = min(30, int(facts["mean"])) if name == "mean" else round(facts[name] * 10)
-            total[self._slot(f"{name} {value}")] = 1.0
-        total[self._slot(f"size {len(words).bit_length()}")] = 0.5
-        return list(total), list(total.values())
-
-
-def train(rows: list[tuple[list[int], list[float]]], target: np.ndarray) -> tuple[np.ndarray, float]:
+    for k, n in enumerate(f.values["n"].tolist()):
+        a, b = f.begin[k], f.begin[k + 1]
+        bins = [f"{name} {min(30, int(f.values[name][k])) if name == 'mean' else round(float(f.values[name][k]) * 10)}" for name in ("marks", "letters", "upper", "again", "distinct", "ends", "mean", "lines", "glyphs")]
+        slots = [*map(_slot, bins), _slot(f"size {n.bit_length()}")]
+        out.append((np.append(f.slots[a:b], slots), np.concatenate((f.counts[a:b] / max(1, n), [1.0] * len(bins), [0.5]))))
+    return out
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of soft labels, by Adam with decay."""
     weights, bias = np.zeros(HASHED), 0.0
     if not rows:
         return weights, bias
-    slots = np.concatenate([np.array(r[0], np.int64) for r in rows])
-    values = np.concatenate([np.array(r[1]) for r in rows])
+    slots = np.concatenate([r[0] for r in rows])
+    values = np.concatenate([r[1] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     m, v = np.zeros(HASHED + 1), np.zeros(HASHED + 1)
     for step in range(1, EPOCHS + 1):
@@ -170,8 +219,9 @@ def vote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, at = text_buffers(batch.column(1))
-            for i, j in chunks(at):
-                got = ["".join("-0+"[v + 1] for v in votes(t or "")) for t in batch.column(1).slice(i, j - i).to_pylist()]
+            for i, j in chunks(at, 1 << 20):
+                cast = votes(facts_of([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]))
+                got = ["".join("-0+"[v + 1] for v in row) for row in cast.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(got, pa.string())], names=["id", "votes"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("votes", T.StringType())])
@@ -199,28 +249,22 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = cast.select("id").where("id is not null").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(TRAIN_ROWS)
     got = sample.join(F.broadcast(ids.withColumnRenamed("id", "_id")), F.col("id") == F.col("_id")).select("id", "text").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")])
-    hasher = Hasher()
-    rows, marks = [], []
-    for text in got["text"].to_pylist():
-        words, facts = _facts(text)
-        rows.append(hasher.features(words, facts))
-        marks.append(_votes(facts))
-    target = posterior(np.array(marks, np.int64).reshape(len(marks), len(LABELLERS)), table, share)
+    rows, marks = [], [np.zeros((0, len(LABELLERS)), np.int64)]
+    for part in range(0, got.num_rows, 300):
+        f = facts_of(got["text"].slice(part, 300).to_pylist())
+        rows += features(f)
+        marks.append(votes(f))
+    target = posterior(np.concatenate(marks), table, share)
     model = spark.sparkContext.broadcast((*train(rows, target), table, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, table, share = model.value
-        hasher = Hasher()
         for batch in batches:
             _, at = text_buffers(batch.column(1))
-            for i, j in chunks(at):
-                marks, scores = [], []
-                for t in batch.column(1).slice(i, j - i).to_pylist():
-                    words, facts = _facts(t or "")
-                    slots, values = hasher.features(words, facts)
-                    marks.append(_votes(facts))
-                    scores.append(bias + float(weights[slots] @ np.array(values)))
-                weak = posterior(np.array(marks, np.int64).reshape(len(marks), len(LABELLERS)), table, share)
+            for i, j in chunks(at, 1 << 20):
+                f = facts_of([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+                weak = posterior(votes(f), table, share)
+                scores = [bias + float(weights[slots] @ values) for slots, values in features(f)]
                 scored = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(weak), pa.array(scored), pa.array(scored >= 0.5)], names=[id_col, "weak_label", "score", "kept"])
 
