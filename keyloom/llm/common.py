@@ -46,17 +46,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def hot_limit(total: int) -> int:
-    return max(HOT_ROWS, total // HOT_KEYS)
+def hot_limit(total: int, keys: int = HOT_KEYS) -> int:
+    """The rows that a key must exceed to be hot; at most `keys` keys do."""
+    return max(HOT_ROWS, total // keys)
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, spread: Column, into: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, spread: Column, into: str, most: int = HOT_KEYS) -> DataFrame:
     """rows with the matching row of table (one row per keys, columns besides the keys) as struct `into`, null where none.
 
-    table's column `count` bounds the rows of each key; keys over hot_limit(total), at most HOT_KEYS of them, are
-    broadcast, and the rows they match are spread over the partitions of the join that serves the others.
+    table's column `count` bounds the rows of each key; keys over hot_limit(total, most), at most `most` of them,
+    are broadcast, and the rows they match are spread over the partitions of the join that serves the others.
     """
-    limit = hot_limit(total)
+    limit = hot_limit(total, most)
     values = [c for c in table.columns if c not in keys]
     side = table.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_v"))
     hot = side.where(F.col(f"_v.{count}") > limit).withColumnRenamed("_v", "_hot")
