@@ -9,12 +9,13 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup, map_arrow, written
+from .common import lookup, map_arrow, mix64, written
 
 #: Element names by what becomes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,7 +145,7 @@ def blocks(node: Node, template: set[int], inside: bool = False, out: list[str]
             held.clear()
 
     inside = inside or node.tag in ("article", "main")
-    constant = node.number in template and not inside
+    constant = node.number in template
     for x in node.items:
         if isinstance(x, str):
             if not constant:
@@ -272,6 +273,45 @@ def wrapper(ref: Skeleton, seen: dict[int, tuple[int, int, int]]) -> tuple[set[i
         root = best
 
 
+#: The word triples of a page's text with the least hashes; pages that share so much of them are copies of one document.
+SKETCH, COPY = 64, 0.5
+
+
+def sketch(text: str) -> list[int]:
+    """The SKETCH least hashes of a text's word triples (of its words, if there are under three), rising."""
+    words = np.array([zlib.crc32(w) for w in text.encode().split()], np.uint64)
+    if len(words) > 2:
+        words = mix64(mix64(mix64(words[:-2]) + words[1:-1]) + words[2:])
+    return (np.unique(mix64(words))[:SKETCH] >> np.uint64(1)).tolist()
+
+
+def copies(a: list[int], b: list[int]) -> bool:
+    """Whether two sketches are of copies or near copies of one text, which are no evidence of a template."""
+    least = sorted({*a, *b})[:SKETCH]
+    both = {*a} & {*b}
+    return sum(x in both for x in least) >= COPY * len(least)
+
+
+def articles_of(tree: Node) -> list[Node]:
+    """The outermost article and main elements in page order."""
+    todo, found = [tree], []
+    while todo:
+        n = todo.pop()
+        if n.tag in ("article", "main"):
+            found.append(n)
+        else:
+            todo += [x for x in reversed(n.items) if isinstance(x, Node)]
+    return found
+
+
+def body(tree: Node) -> str:
+    """The text of the page's articles, or else of the page, template and all."""
+    out: list[str] = []
+    for n in articles_of(tree) or [tree]:
+        blocks(n, set(), False, out)
+    return " ".join(out)
+
+
 def extract(page: str, ref: Skeleton | None, template: set[int], root: int) -> str:
     """The text of a page's content: below the node aligned with the wrapper's root, or else below the page's article or the page."""
     tree = parse(page)
@@ -318,17 +358,19 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            made = [json.dumps(skeleton(parse(p or "")), separators=(",", ":")) for p in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string())], names=["id", "host", "skeleton"])
+            trees = [parse(p or "") for p in part.column(2).to_pylist()]
+            made = [json.dumps(skeleton(t), separators=(",", ":")) for t in trees]
+            sketches = pa.array([sketch(body(t)) for t in trees], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), sketches], names=["id", "host", "skeleton", "sketch"])
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by host and reference node, summed within each batch."""
+    """Counts by host and reference node over the pages that are no copies of the reference, summed within each batch."""
     for batch in batches:
         tally: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
         refs: dict[str, Skeleton] = {}
-        for host, own, ref in zip(*(c.to_pylist() for c in batch.columns)):
-            if own == ref:
+        for host, own, text, ref, ref_text in zip(*(c.to_pylist() for c in batch.columns)):
+            if own == ref or copies(text, ref_text):
                 continue
             if host not in refs:
                 refs[host] = json.loads(ref)
@@ -349,23 +391,24 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id, url and text of each page (empty if it has none).
 
-    Each host's page with the least id is its reference. All pages of the host that differ from it are aligned with
-    it, and counts over them tell template from slots and find the content's root. A host's counts are summed where
+    Each host's page with the least id is its reference. All pages of the host that are other documents are
+    aligned with it, and counts over them tell template from slots and find the content's root. A host's counts are summed where
     its pages lie; reference and wrapper are skeletons without text. Null html counts as empty; pages without url
     are a host of their own; a host of one page is its own wrapper; rows repeated with one id each give a row.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType
-    thin = T.StructType([T.StructField("id", kind), T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType())])
+    thin = T.StructType([T.StructField("id", kind), T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     bones = written(map_arrow(rows.select("id", "host", "html"), _skeletons, thin), "bones")
     total = bones.count()
-    refs = bones.groupBy("host").agg(F.min(F.struct("id", "skeleton")).alias("_m"), F.count("*").alias("n")).select("host", F.col("_m.skeleton").alias("ref"), "n")
+    refs = bones.groupBy("host").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_m"), F.count("*").alias("n"))
+    refs = refs.select("host", F.col("_m.skeleton").alias("ref"), F.col("_m.sketch").alias("ref_sketch"), "n")
     refs = written(refs, "refs")
-    with_ref = lookup(bones, refs, ["host"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", F.col("_r.ref").alias("ref"))
+    with_ref = lookup(bones, refs, ["host"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", F.col("_r.ref").alias("ref"), F.col("_r.ref_sketch").alias("ref_sketch"))
     tallies = map_arrow(with_ref, _tallies, "host string, node int, pages long, same long, length long")
     tallies = tallies.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.sum("length").alias("length"))
     seen = tallies.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "length"))).alias("seen"))
-    wrappers = written(refs.join(seen, "host", "left"), "wrappers")
+    wrappers = written(refs.drop("ref_sketch").join(seen, "host", "left"), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}

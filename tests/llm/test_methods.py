@@ -262,6 +262,27 @@ def test_wrapper_finds_the_slot(spark):
         assert got[i] == " ".join(re.findall("<p>((?:first|second)[^<]*)</p>", h))
 
 
+def texts_of(spark, rows):
+    return {x.page_id: x.text for x in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def some_words(r, n):
+    return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+
+def test_template_inside_article_goes_but_not_from_copies(spark):
+    page = "<body><article><h1>{t}</h1><div class='x'>Read it first at our place</div><p>{a}</p></article></body>"
+    r = random.Random(81)
+    texts = [(some_words(r, 4), some_words(r, 30)) for _ in range(6)]
+    one = (some_words(r, 4), some_words(r, 60))
+    near = [(one[0], f"{one[1]} v{k}") for k in range(8)]
+    rows = [(i, f"http://h.example/{i}", page.format(t=t, a=a)) for i, (t, a) in enumerate(near + texts)]
+    rows += [(50 + i, f"http://copies.example/{i}", page.format(t=t, a=a)) for i, (t, a) in enumerate(near)]
+    got = texts_of(spark, rows)
+    assert [got[i] for i in range(14)] == [f"{t} {a}" for t, a in near + texts]
+    assert [got[50 + i] for i in range(8)] == [f"{t} Read it first at our place {a}" for t, a in near]
+
+
 def test_noise_elements_go():
     page = (
         "<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class='cookie-notice'>ok?</div><main><article><header><h1>Title</h1></header>"
