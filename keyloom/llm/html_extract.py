@@ -7,7 +7,8 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "items", "noise", "holds", "parent", "depth", "number")
+    __slots__ = ("tag", "names", "items", "noise", "holds", "parent", "number")
 
     def __init__(self, tag: str, names: str, parent: Node | None) -> None:
         self.tag, self.names, self.parent = tag, names, parent
@@ -51,20 +52,23 @@ class Node:
         words = {w.lower() for w in _WORD.findall(names)} if names else ()
         self.noise = tag in NEVER or not NOISE.isdisjoint(words)
         self.holds = tag in ("article", "main")
-        self.depth = parent.depth + 1 if parent else 0
         self.number = -1
 
 
-#: Elements nested deeper are read as part of the element at this depth.
-DEEPEST = 150
-#: Longer sibling lists (as a product) are aligned each with the next of its label, in one pass.
-WIDEST = 1 << 18
-
-
 def parse(text: str) -> Node:
     """The block elements of a page as a tree, with their text; unclosed and stray tags are tolerated."""
     root = Node("#", "", None)
     at, i = root, 0
+    opened: dict[str, int] = defaultdict(int)  # open elements by name
+
+    def close(n: Node) -> Node:
+        """Ends n and what is open in it."""
+        up: Node | None = at
+        while up is not n.parent:
+            opened[up.tag] -= 1
+            up = up.parent
+        return up
+
     while i < len(text):
         m = _TAG.search(text, i)
         if not m:
@@ -77,38 +81,36 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
-                n: Node | None = at
-                while n is not None and n.tag != tag:
+            if tag in BLOCK and opened[tag]:
+                n = at
+                while n.tag != tag:
                     n = n.parent
-                if n is not None and n.parent is not None:
-                    at = n.parent
+                at = close(n)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 at.items.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(text, i)
-            i = close.end() if close else len(text)
+            end = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(text, i)
+            i = end.end() if end else len(text)
             continue
         if tag not in BLOCK:
             continue
         if tag in ENDS:
             ended, bound = ENDS[tag]
+            if any(opened[t] for t in ended):
+                n = at
+                while n.tag not in ended and n.tag not in bound:
+                    n = n.parent
+                if n.tag in ended:
+                    at = close(n)
+        if opened["p"]:
             n = at
-            while n is not None and n.tag not in ended and n.tag not in bound:
+            while n.tag != "p" and n.tag not in CONTAINER:
                 n = n.parent
-            if n is not None and n.tag in ended and n.parent is not None:
-                at = n.parent
-        n = at
-        while n is not None and n.tag != "p" and n.tag not in CONTAINER:
-            n = n.parent
-        if n is not None and n.tag == "p" and n.parent is not None:
-            at = n.parent
-        if at.depth >= DEEPEST:
-            at.items.append(" ")
-            continue
+            if n.tag == "p":
+                at = close(n)
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
         node = Node(tag, names, at)
         at.items.append(node)
@@ -119,6 +121,7 @@ def parse(text: str) -> Node:
                 up = up.parent
         if not m[3].endswith("/") or tag not in ("iframe", "svg", "object"):
             at = node
+            opened[tag] += 1
     return root
 
 
@@ -144,17 +147,23 @@ def blocks(node: Node, template: set[int], inside: bool = False, out: list[str]
                 out.append(s)
             held.clear()
 
-    inside = inside or node.tag in ("article", "main")
-    constant = node.number in template
-    for x in node.items:
-        if isinstance(x, str):
-            if not constant:
+    def begun(n: Node, inside: bool) -> tuple[Iterator[str | Node], bool, bool]:
+        return iter(n.items), n.number in template, inside or n.tag in ("article", "main")
+
+    todo = [begun(node, inside)]
+    while todo:
+        items, constant, inside = todo[-1]
+        for x in items:
+            if not isinstance(x, str):
+                flush()
+                if not dropped(x, inside):
+                    todo.append(begun(x, inside))
+                    break
+            elif not constant:
                 held.append(x)
         else:
             flush()
-            if not dropped(x, inside):
-                blocks(x, template, inside, out)
-    flush()
+            todo.pop()
     return out
 
 
@@ -168,78 +177,140 @@ Skeleton = list[list]
 def skeleton(root: Node) -> Skeleton:
     """The tree with each run of like siblings (paragraphs, list items, cells) as one node; sets the nodes' numbers."""
     out: Skeleton = []
-
-    def add(run: list[Node], parent: int) -> None:
+    todo = [([root], -1)]
+    while todo:
+        run, parent = todo.pop()
         number = len(out)
         text = " ".join(" ".join("".join(x for x in n.items if isinstance(x, str)).split()) for n in run).strip()
         out.append([parent, f"{run[0].tag} {run[0].names}".strip(), zlib.crc32(text.encode()), len(text)])
         for n in run:
             n.number = number
         children = [x for n in run for x in n.items if isinstance(x, Node)]
-        i = 0
-        while i < len(children):
-            j = i + 1
-            while j < len(children) and (children[j].tag, children[j].names) == (children[i].tag, children[i].names):
-                j += 1
-            add(children[i:j], number)
-            i = j
-
-    add([root], -1)
+        runs = [list(g) for _, g in groupby(children, lambda x: (x.tag, x.names))]
+        todo += [(g, number) for g in reversed(runs)]
     return out
 
 
+#: Sibling lists whose product is over this are aligned a row at a time in numpy, with the same result.
+BY_ROWS = 1 << 10
+
+
+def heaviest(left: tuple, right: tuple, weigh: Callable[[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The greatest weight of an order-keeping alignment of two lists, and its positions; a weight of 0 forbids a pair."""
+    n, m = len(left), len(right)
+    chosen: list[tuple[int, int]] = []
+    if n * m <= BY_ROWS:
+        best = [[0] * (m + 1)]
+        took = [[False] * (m + 1)]
+        for u in left:
+            above, row, took_row = best[-1], [0], [False]
+            for j, v in enumerate(right, 1):
+                w = weigh(u, v)
+                w = w + above[j - 1] if w else -1
+                row.append(max(w, above[j], row[-1]))
+                took_row.append(row[-1] == w)
+            best.append(row)
+            took.append(took_row)
+        i, j = n, m
+        while i and j:
+            if took[i][j]:
+                i, j = i - 1, j - 1
+                chosen.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return best[-1][-1], chosen[::-1]
+    kinds = {v: k for k, v in enumerate(dict.fromkeys(right))}
+    where = np.array([kinds[v] for v in right])
+    above = np.zeros(m + 1, np.int64)
+    weights: dict[int, np.ndarray] = {}
+    bits = []  # for each row: whether its cell is a pair, and whether it equals the cell above
+    for u in left:
+        if u not in weights:
+            weights[u] = np.array([weigh(u, v) for v in kinds], np.int64)
+        w = weights[u][where]
+        w = np.where(w > 0, w + above[:-1], -1)
+        row = np.append(0, np.maximum.accumulate(np.maximum(w, above[1:])))
+        bits.append((np.packbits(row[1:] == w), np.packbits(row[1:] == above[1:])))
+        above = row
+    i, j = n, m
+    while i and j:
+        byte, bit = (j - 1) >> 3, 7 - ((j - 1) & 7)
+        if bits[i - 1][0][byte] >> bit & 1:
+            i, j = i - 1, j - 1
+            chosen.append((i, j))
+        elif bits[i - 1][1][byte] >> bit & 1:
+            i -= 1
+        else:
+            j -= 1
+    return int(above[-1]), chosen[::-1]
+
+
 def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     """Simple tree matching: the largest set of node pairs with equal labels that keeps parents and the order of siblings."""
+    known: dict[tuple, int] = {}  # equal subtrees have one shape
+    kinds: list[tuple[str, tuple[int, ...], int]] = []  # of each shape the label, the shapes below and the nodes
     kids: list[list[list[int]]] = []
+    shapes: list[list[int]] = []
     for s in (a, b):
         below: list[list[int]] = [[] for _ in s]
         for i, (parent, *_) in enumerate(s):
             if parent >= 0:
                 below[parent].append(i)
+        shape = [0] * len(s)
+        for i in range(len(s) - 1, -1, -1):  # a node's children come after it
+            key = (s[i][1], tuple(shape[k] for k in below[i]))
+            if key not in known:
+                known[key] = len(kinds)
+                kinds.append((*key, 1 + sum(kinds[k][2] for k in key[1])))
+            shape[i] = known[key]
         kids.append(below)
+        shapes.append(shape)
     pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    weights: dict[tuple[int, int], int] = {}
 
     def weigh(x: int, y: int) -> int:
-        if a[x][1] != b[y][1]:
-            return 0
-        left, right = kids[0][x], kids[1][y]
-        if len(left) * len(right) > WIDEST:
-            chosen, total, j = [], 1, 0
-            for u in left:
-                k = next((k for k in range(j, min(j + 64, len(right))) if a[u][1] == b[right[k]][1]), None)
-                if k is not None:
-                    total += weigh(u, right[k])
-                    chosen.append((u, right[k]))
-                    j = k + 1
-            pairs[x, y] = chosen
-            return total
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        took = {}
-        for i, u in enumerate(left, 1):
-            row, above = best[i], best[i - 1]
-            for j, v in enumerate(right, 1):
-                w = weigh(u, v) + above[j - 1] if a[u][1] == b[v][1] else -1
-                row[j] = max(w, above[j], row[j - 1])
-                took[i, j] = row[j] == w
-        chosen, i, j = [], len(left), len(right)
-        while i and j:
-            if took[i, j]:
-                chosen.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        pairs[x, y] = chosen
-        return best[-1][-1] + 1
+        if x == y:
+            return kinds[x][2]
+        return weights[x, y] if kinds[x][0] == kinds[y][0] else 0
+
+    if kinds[shapes[0][0]][0] != kinds[shapes[1][0]][0]:
+        return {}
+    waiting = [(shapes[0][0], shapes[1][0])]
+    while waiting:
+        x, y = waiting[-1]
+        if x == y or (x, y) in weights:
+            waiting.pop()
+            continue
+        left, right = kinds[x][1], kinds[y][1]
+        by_label: dict[str, list[int]] = defaultdict(list)
+        for v in set(right):
+            by_label[kinds[v][0]].append(v)
+        missing = [(u, v) for u in set(left) for v in by_label.get(kinds[u][0], ()) if u != v and (u, v) not in weights]
+        if missing:
+            waiting += missing
+            continue
+        # equal shapes at either end belong together in some heaviest alignment
+        first = 0
+        while first < min(len(left), len(right)) and left[first] == right[first]:
+            first += 1
+        last = 0
+        while last < min(len(left), len(right)) - first and left[-1 - last] == right[-1 - last]:
+            last += 1
+        total, chosen = heaviest(left[first : len(left) - last], right[first : len(right) - last], weigh)
+        ends = [(k, k) for k in range(first)], [(len(left) - k, len(right) - k) for k in range(last, 0, -1)]
+        pairs[x, y] = [*ends[0], *((i + first, j + first) for i, j in chosen), *ends[1]]
+        weights[x, y] = 1 + total + sum(kinds[left[i]][2] for side in ends for i, _ in side)
 
     found: dict[int, int] = {}
-    if weigh(0, 0):
-        todo = [(0, 0)]
-        while todo:
-            x, y = todo.pop()
-            found[x] = y
-            todo += pairs[x, y]
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        found[x] = y
+        u, v = shapes[0][x], shapes[1][y]
+        left, right = kids[0][x], kids[1][y]
+        todo += zip(left, right) if u == v else ((left[i], right[j]) for i, j in pairs[u, v])
     return found
 
 

@@ -283,6 +283,60 @@ def test_template_inside_article_goes_but_not_from_copies(spark):
     assert [got[50 + i] for i in range(8)] == [f"{t} Read it first at our place {a}" for t, a in near]
 
 
+def test_deep_elements_close_themselves():
+    deep = "<div>" * 5000 + "<aside>side</aside><p>low</p>" + "</div>" * 5000
+    assert html_extract.extract(f"<body><div><article><p>head</p>{deep}<p>tail</p></article></div></body>", None, set(), 0) == "head low tail"
+    below = "<div>" * 5000 + "<article>text</article>" + "</div>" * 5000
+    assert html_extract.extract(f"<body><p>x</p>{below}</body>", None, set(), 0) == "text"
+    bones = html_extract.skeleton(html_extract.parse(deep))
+    assert html_extract.match(bones, bones) == {i: i for i in range(len(bones))}
+
+
+def test_matching_is_exact_at_any_width():
+    def brute(a, b):
+        kids = [[[i for i in range(len(s)) if s[i][0] == p] for p in range(len(s))] for s in (a, b)]
+
+        def weigh(x, y):
+            if a[x][1] != b[y][1]:
+                return 0
+            line = [0] * (len(kids[1][y]) + 1)
+            for u in kids[0][x]:
+                fresh = [0]
+                for j, v in enumerate(kids[1][y], 1):
+                    w = weigh(u, v)
+                    fresh.append(max(line[j], fresh[-1], line[j - 1] + w if w else 0))
+                line = fresh
+            return line[-1] + 1
+
+        return weigh(0, 0)
+
+    def tree(r, n):
+        out = [[-1, "#", 0, 0]]
+        for _ in range(n):
+            out.append([r.randrange(len(out)) if r.random() < 0.5 else 0, r.choice(["div", "p", "ul"]), 0, 0])
+        return html_extract.skeleton(html_extract.parse(render(out, 0)))
+
+    def render(s, i):
+        below = "".join(render(s, k) for k in range(len(s)) if s[k][0] == i)
+        return below if i == 0 else f"<div class={s[i][1]}>{below}</div>"
+
+    def good(a, b, found):
+        assert all(a[x][1] == b[y][1] and (x == 0 or found[a[x][0]] == b[y][0]) for x, y in found.items())
+        order = sorted(found)
+        assert all(found[x] < found[y] for x, y in zip(order, order[1:]))
+
+    r = random.Random(13)
+    for k in range(40):
+        a, b = tree(r, r.randrange(12 + 40 * (k > 34))), tree(r, r.randrange(12 + 40 * (k > 34)))
+        found = html_extract.match(a, b)
+        good(a, b, found)
+        assert len(found) == brute(a, b)
+    # 700 siblings against as many after a gap of 100: a look-ahead of 64 finds none of them
+    a = [[-1, "#", 0, 0], *([0, f"div n{i}", 0, 0] for i in range(100, 800))]
+    b = [[-1, "#", 0, 0], *([0, f"div n{i}", 0, 0] for i in range(800))]
+    assert html_extract.match(a, b) == {0: 0} | {i: i + 100 for i in range(1, 701)}
+
+
 def test_noise_elements_go():
     page = (
         "<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class='cookie-notice'>ok?</div><main><article><header><h1>Title</h1></header>"
