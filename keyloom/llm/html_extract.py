@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -316,32 +317,11 @@ def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
 
 #: A node is template if its text is the same on this share of the pages that have it, three of them at least.
 CONSTANT, LEAST_PAGES = 0.6, 3
-#: The content root is followed down while one container holds this share of the varying text.
-SHARE = 0.9
-
-
-def wrapper(ref: Skeleton, seen: dict[int, tuple[int, int, int]]) -> tuple[set[int], int]:
-    """Template nodes and the content root of a reference page; seen: for each node the pages that have it, those with
-    the same text, and the length of their text."""
-    template = {i for i, (n, same, _) in seen.items() if n >= LEAST_PAGES and same >= CONSTANT * n and ref[i][3]}
-    mass = [0.0] * len(ref)
-    for i in range(len(ref) - 1, -1, -1):
-        n, same, length = seen.get(i, (0, 0, 0))
-        words = {w.lower() for w in _WORD.findall(ref[i][1])}
-        tag = ref[i][1].split(" ", 1)[0]
-        if tag in NEVER or tag == "header" or (tag not in ("article", "main", "html", "body") and not NOISE.isdisjoint(words)):
-            mass[i] = 0.0  # with all that is below
-        elif i not in template:
-            mass[i] += length / n if n else ref[i][3]
-        if ref[i][0] >= 0:
-            mass[ref[i][0]] += mass[i]
-    root = 0
-    while True:
-        below = [i for i, x in enumerate(ref) if x[0] == root and x[1].split(" ", 1)[0] in CONTAINER]
-        best = max(below, key=lambda i: mass[i], default=None)
-        if best is None or not mass[best] or mass[best] < SHARE * mass[root] or ref[root][1].split(" ", 1)[0] in ("article", "main"):
-            return template, root
-        root = best
+
+
+def wrapper(ref: Skeleton, seen: dict[int, tuple[int, int]]) -> set[int]:
+    """Template nodes of a reference page; seen: for each node the pages that have it, and those with the same text."""
+    return {i for i, (n, same) in seen.items() if n >= LEAST_PAGES and same >= CONSTANT * n and ref[i][3]}
 
 
 #: The word triples of a page's text with the least hashes; pages that share so much of them are copies of one document.
@@ -383,44 +363,30 @@ def body(tree: Node) -> str:
     return " ".join(out)
 
 
-def extract(page: str, ref: Skeleton | None, template: set[int], root: int) -> str:
-    """The text of a page's content: below the node aligned with the wrapper's root, or else below the page's article or the page."""
+def extract(page: str, ref: Skeleton | None, template: set[int], root: int = 0) -> str:
+    """The text of a page's articles, or else of the page (of what is aligned with `root`), without template nodes and what is dropped."""
     tree = parse(page)
     own = skeleton(tree)
     mine: set[int] = set()
-    top = None
+    top = 0
     if ref is not None:
         aligned = match(ref, own)
         mine = {aligned[i] for i in template if i in aligned and own[aligned[i]][2:] == ref[i][2:]}
-        top = aligned.get(root)
-    todo, articles, found = [tree], [], []
+        top = aligned.get(root, 0)
+    found = articles_of(tree)
+    todo = [] if found else [tree]
     while todo:
         n = todo.pop()
         if n.number == top:
             found.append(n)
-        if n.tag in ("article", "main"):
-            articles.append(n)
-        todo += [x for x in reversed(n.items) if isinstance(x, Node)]
-    if not found or (articles and not any(n.holds for n in found)):
-        found = articles or [tree]
-    if articles and any(n.tag not in ("article", "main") for n in found):
-        found = articles
+        else:
+            todo += [x for x in reversed(n.items) if isinstance(x, Node)]
     out: list[str] = []
-    inner = [n for n in found if not any(_under(n, m) for m in found)]
-    for n in inner:
+    for n in found:
         blocks(n, mine, False, out)
     return " ".join(out)
 
 
-def _under(n: Node, m: Node) -> bool:
-    up = n.parent
-    while up is not None:
-        if up is m:
-            return True
-        up = up.parent
-    return False
-
-
 def host_of(url) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
@@ -431,14 +397,16 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, 64)
             trees = [parse(p or "") for p in part.column(2).to_pylist()]
             made = [json.dumps(skeleton(t), separators=(",", ":")) for t in trees]
-            sketches = pa.array([sketch(body(t)) for t in trees], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), sketches], names=["id", "host", "skeleton", "sketch"])
+            bodies = [body(t) for t in trees]
+            sketches = pa.array([sketch(b) for b in bodies], pa.list_(pa.int64()))
+            digests = pa.array([hashlib.md5(b.encode()).hexdigest() for b in bodies])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), sketches, digests], names=["id", "host", "skeleton", "sketch", "body"])
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by host and reference node over the pages that are no copies of the reference, summed within each batch."""
     for batch in batches:
-        tally: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+        tally: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
         refs: dict[str, Skeleton] = {}
         for host, own, text, ref, ref_text in zip(*(c.to_pylist() for c in batch.columns)):
             if own == ref or copies(text, ref_text):
@@ -450,35 +418,35 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t = tally[host, x]
                 t[0] += 1
                 t[1] += a[x][2:] == b[y][2:]
-                t[2] += b[y][3]
         if tally:
             keys, values = list(tally), list(tally.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([v[c] for v in values], pa.int64()) for c in range(3))],
-                names=["host", "node", "pages", "same", "length"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([v[c] for v in values], pa.int64()) for c in range(2))],
+                names=["host", "node", "pages", "same"],
             )
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id, url and text of each page (empty if it has none).
 
-    Each host's page with the least id is its reference. All pages of the host that are other documents are
-    aligned with it, and counts over them tell template from slots and find the content's root. A host's counts are summed where
+    Each host's page with the least id is its reference. The pages of the host that are other documents, each
+    body once, are aligned with it, and counts over them tell template from slots. A host's counts are summed where
     its pages lie; reference and wrapper are skeletons without text. Null html counts as empty; pages without url
     are a host of their own; a host of one page is its own wrapper; rows repeated with one id each give a row.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType
-    thin = T.StructType([T.StructField("id", kind), T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    thin = T.StructType([T.StructField("id", kind), T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
     bones = written(map_arrow(rows.select("id", "host", "html"), _skeletons, thin), "bones")
     total = bones.count()
     refs = bones.groupBy("host").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_m"), F.count("*").alias("n"))
     refs = refs.select("host", F.col("_m.skeleton").alias("ref"), F.col("_m.sketch").alias("ref_sketch"), "n")
     refs = written(refs, "refs")
-    with_ref = lookup(bones, refs, ["host"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", F.col("_r.ref").alias("ref"), F.col("_r.ref_sketch").alias("ref_sketch"))
-    tallies = map_arrow(with_ref, _tallies, "host string, node int, pages long, same long, length long")
-    tallies = tallies.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.sum("length").alias("length"))
-    seen = tallies.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "length"))).alias("seen"))
+    bodies = bones.groupBy("host", "body").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_b")).select("host", "_b.*")
+    with_ref = lookup(bodies, refs, ["host"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", F.col("_r.ref").alias("ref"), F.col("_r.ref_sketch").alias("ref_sketch"))
+    tallies = map_arrow(with_ref, _tallies, "host string, node int, pages long, same long")
+    tallies = tallies.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    seen = tallies.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("seen"))
     wrappers = written(refs.drop("ref_sketch").join(seen, "host", "left"), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +461,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         if len(known) > 200:
                             known.clear()
                         bones = json.loads(ref) if ref else None
-                        known[key] = (bones, *(wrapper(bones, {s["node"]: (s["pages"], s["same"], s["length"]) for s in seen or []}) if bones else (set(), 0)))
+                        known[key] = (bones, wrapper(bones, {s["node"]: (s["pages"], s["same"]) for s in seen or []}) if bones else set())
                     texts.append(extract(page or "", *known[key]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 

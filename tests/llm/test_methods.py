@@ -337,6 +337,22 @@ def test_matching_is_exact_at_any_width():
     assert html_extract.match(a, b) == {0: 0} | {i: i + 100 for i in range(1, 701)}
 
 
+def test_pages_without_article_keep_their_text(spark):
+    page = "<body><div class='top'>Site name</div><div><h1>{t}</h1><div class='text'><p>{a}</p></div><p class='last'>{z}</p></div></body>"
+    r = random.Random(83)
+    rows = [(i, f"http://h.example/{i}", page.format(t=some_words(r, 3), a=some_words(r, 200), z=some_words(r, 4))) for i in range(8)]
+    same = f"<body><h1>{some_words(r, 4)}</h1><div class='text'>{some_words(r, 90)}</div><div class='day'>2024-01-%02d</div></body>"
+    rows += [(20 + i, f"http://near.example/{i}", same % i) for i in range(9)]
+    # exact copies of one text that share a heading with the reference by chance count once
+    chance = "<body><h1>Chance heading</h1><div class='text'>{a}</div></body>"
+    bodies = [some_words(r, 50) for _ in range(5)]
+    rows += [(40 + i, f"http://chance.example/{i}", chance.format(a=bodies[i > 0])) for i in range(9)]
+    rows += [(50 + i, f"http://chance.example/{i}", chance.format(a=bodies[i + 2]).replace("Chance heading", f"Other {i}")) for i in range(3)]
+    got = texts_of(spark, rows)
+    for i, _, h in rows:
+        assert got[i] == " ".join(re.sub("<[^>]*>", " ", h.replace("Site name", "")).split())
+
+
 def test_noise_elements_go():
     page = (
         "<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class='cookie-notice'>ok?</div><main><article><header><h1>Title</h1></header>"
