@@ -168,7 +168,7 @@ def blocks(node: Node, template: set[int], inside: bool = False, out: list[str]
     return out
 
 
-#: Hosts whose skeleton (a kilobyte or two) is broadcast, at most.
+#: Layouts of hosts whose skeleton (a kilobyte or two) is broadcast, at most.
 HOT_HOSTS = 10_000
 
 #: A skeleton: for each node in page order its parent, label, checksum of its own text, and that text's length.
@@ -248,6 +248,13 @@ def heaviest(left: tuple, right: tuple, weigh: Callable[[int, int], int]) -> tup
     return int(above[-1]), chosen[::-1]
 
 
+def layout(bones: Skeleton) -> str:
+    """A digest of a skeleton without its texts; empty if it has no text."""
+    if not any(x[3] for x in bones):
+        return ""
+    return hashlib.md5(json.dumps([x[:2] for x in bones]).encode()).hexdigest()
+
+
 def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     """Simple tree matching: the largest set of node pairs with equal labels that keeps parents and the order of siblings."""
     known: dict[tuple, int] = {}  # equal subtrees have one shape
@@ -315,8 +322,10 @@ def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     return found
 
 
-#: A node is template if its text is the same on this share of the pages that have it, three of them at least.
-CONSTANT, LEAST_PAGES = 0.6, 3
+#: A node is template if its text is the same on this share of the other documents that have it, one at least.
+CONSTANT, LEAST_PAGES = 0.6, 1
+#: A layout with so many distinct bodies has a reference of its own; rarer ones share that of the host's commonest layout.
+OWN_LAYOUT = 4
 
 
 def wrapper(ref: Skeleton, seen: dict[int, tuple[int, int]]) -> set[int]:
@@ -391,63 +400,87 @@ def host_of(url) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a last column for the pages' layouts."""
+    for batch in batches:
+        made = [layout(skeleton(parse(p or ""))) for p in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "layout"])
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
             trees = [parse(p or "") for p in part.column(2).to_pylist()]
-            made = [json.dumps(skeleton(t), separators=(",", ":")) for t in trees]
+            made = [skeleton(t) for t in trees]
             bodies = [body(t) for t in trees]
-            sketches = pa.array([sketch(b) for b in bodies], pa.list_(pa.int64()))
-            digests = pa.array([hashlib.md5(b.encode()).hexdigest() for b in bodies])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), sketches, digests], names=["id", "host", "skeleton", "sketch", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array([layout(b) for b in made], pa.string()),
+                    pa.array([json.dumps(b, separators=(",", ":")) for b in made], pa.string()),
+                    pa.array([sketch(b) for b in bodies], pa.list_(pa.int64())),
+                    pa.array([hashlib.md5(b.encode()).hexdigest() for b in bodies], pa.string()),
+                ],
+                names=["id", "host", "layout", "skeleton", "sketch", "body"],
+            )
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by host and reference node over the pages that are no copies of the reference, summed within each batch."""
+    """Counts by host, reference's layout and node over the pages that are no copies of the reference, summed within each batch."""
     for batch in batches:
-        tally: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-        refs: dict[str, Skeleton] = {}
-        for host, own, text, ref, ref_text in zip(*(c.to_pylist() for c in batch.columns)):
+        tally: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0])
+        refs: dict[tuple[str, str], Skeleton] = {}
+        for host, own, text, kind, ref, ref_text in zip(*(c.to_pylist() for c in batch.columns)):
             if own == ref or copies(text, ref_text):
                 continue
-            if host not in refs:
-                refs[host] = json.loads(ref)
-            a, b = refs[host], json.loads(own)
+            if (host, kind) not in refs:
+                refs[host, kind] = json.loads(ref)
+            a, b = refs[host, kind], json.loads(own)
             for x, y in match(a, b).items():
-                t = tally[host, x]
+                t = tally[host, kind, x]
                 t[0] += 1
                 t[1] += a[x][2:] == b[y][2:]
         if tally:
             keys, values = list(tally), list(tally.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([v[c] for v in values], pa.int64()) for c in range(2))],
-                names=["host", "node", "pages", "same"],
+                [*(pa.array([k[c] for k in keys], pa.string()) for c in range(2)), pa.array([k[2] for k in keys], pa.int32()), *(pa.array([v[c] for v in values], pa.int64()) for c in range(2))],
+                names=["host", "kind", "node", "pages", "same"],
             )
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id, url and text of each page (empty if it has none).
 
-    Each host's page with the least id is its reference. The pages of the host that are other documents, each
-    body once, are aligned with it, and counts over them tell template from slots. A host's counts are summed where
-    its pages lie; reference and wrapper are skeletons without text. Null html counts as empty; pages without url
-    are a host of their own; a host of one page is its own wrapper; rows repeated with one id each give a row.
+    Pages of a host with equal trees of labels are one layout. The page with the least id of each common layout is a
+    reference, for the rest that of the host's commonest; pages without text are none. The pages that are other documents,
+    each body once, are aligned with their reference, and counts over them tell template from slots. Counts are summed
+    where the pages lie; references and wrappers are skeletons without text. Null html counts as empty; pages
+    without url are a host of their own; a host of one page is its own wrapper; rows repeated with one id each give a row.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType
-    thin = T.StructType([T.StructField("id", kind), T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
+    thin = T.StructType([T.StructField("id", kind), *(T.StructField(n, T.StringType()) for n in ("host", "layout", "skeleton")), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
     bones = written(map_arrow(rows.select("id", "host", "html"), _skeletons, thin), "bones")
     total = bones.count()
-    refs = bones.groupBy("host").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_m"), F.count("*").alias("n"))
-    refs = refs.select("host", F.col("_m.skeleton").alias("ref"), F.col("_m.sketch").alias("ref_sketch"), "n")
-    refs = written(refs, "refs")
-    bodies = bones.groupBy("host", "body").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_b")).select("host", "_b.*")
-    with_ref = lookup(bodies, refs, ["host"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", F.col("_r.ref").alias("ref"), F.col("_r.ref_sketch").alias("ref_sketch"))
-    tallies = map_arrow(with_ref, _tallies, "host string, node int, pages long, same long")
-    tallies = tallies.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    seen = tallies.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("seen"))
-    wrappers = written(refs.drop("ref_sketch").join(seen, "host", "left"), "wrappers")
+    bones = bones.where("layout != ''")
+    texts = written(bones.groupBy("host", "layout", "body").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_b"), F.count("*").alias("rows")).select("host", "layout", "_b.*", "rows"), "texts")
+    kinds = texts.groupBy("host", "layout").agg(F.min(F.struct("id", "skeleton", "sketch")).alias("_m"), F.count("*").alias("bodies"), F.sum("rows").alias("n"))
+    kinds = written(kinds.select("host", "layout", F.col("_m.id").alias("id"), F.col("_m.skeleton").alias("ref"), F.col("_m.sketch").alias("ref_sketch"), "bodies", "n"), "kinds")
+    first = F.min(F.struct((-F.col("bodies")).alias("_n"), "id", "layout", "ref", "ref_sketch"))
+    main = kinds.groupBy("host").agg(first.alias("_f"), F.count("*").alias("n")).select("host", "n", F.col("_f.layout").alias("kind"), F.col("_f.ref").alias("ref"), F.col("_f.ref_sketch").alias("ref_sketch"))
+    own = F.col("bodies") >= OWN_LAYOUT
+    refs = lookup(kinds, written(main, "main"), ["host"], "n", total, F.col("layout"), "_m", HOT_HOSTS)
+    either = [F.when(own, F.col(a)).otherwise(F.col(f"_m.{b}")).alias(b) for a, b in (("layout", "kind"), ("ref", "ref"), ("ref_sketch", "ref_sketch"))]
+    refs = written(refs.select("host", "layout", "n", *either), "refs")
+    with_ref = lookup(texts, refs, ["host", "layout"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", "_r.kind", "_r.ref", "_r.ref_sketch")
+    tallies = map_arrow(with_ref, _tallies, "host string, kind string, node int, pages long, same long")
+    tallies = tallies.groupBy("host", "kind", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    seen = tallies.groupBy("host", "kind").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("seen"))
+    seen = written(seen.join(refs.groupBy("host", "kind").agg(F.count("*").alias("layouts")), ["host", "kind"]), "seen")
+    wrappers = lookup(refs.drop("ref_sketch"), seen, ["host", "kind"], "layouts", total, F.col("layout"), "_t", HOT_HOSTS)
+    wrappers = written(wrappers.select("host", "layout", "n", "ref", F.col("_t.seen").alias("seen")), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
@@ -465,5 +498,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     texts.append(extract(page or "", *known[key]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    full = lookup(rows, wrappers, ["host"], "n", total, F.col("id"), "_w", HOT_HOSTS).select("id", "url", "html", F.col("_w.ref").alias("ref"), F.col("_w.seen").alias("seen"))
+    laid_out = map_arrow(rows, _laid_out, T.StructType([*rows.schema.fields, T.StructField("layout", T.StringType())]))
+    full = lookup(laid_out, wrappers, ["host", "layout"], "n", total, F.col("id"), "_w", HOT_HOSTS).select("id", "url", "html", F.col("_w.ref").alias("ref"), F.col("_w.seen").alias("seen"))
     return map_arrow(full, run, T.StructType([T.StructField(id_col, kind), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType())]))

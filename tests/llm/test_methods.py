@@ -353,6 +353,20 @@ def test_pages_without_article_keep_their_text(spark):
         assert got[i] == " ".join(re.sub("<[^>]*>", " ", h.replace("Site name", "")).split())
 
 
+def test_references_by_layout(spark):
+    page = "<body><div class='top'>Site name here</div><div class='text'><p>{a}</p></div></body>"
+    other = "<body><table><tr><td>Shop of the site</td></tr></table><div class='text'><p>{a}</p></div></body>"
+    r = random.Random(84)
+    rows = [(0, "http://h.example/0", None), (1, "http://h.example/1", "<body><h1>Error 404</h1></body>")]
+    rows += [(2 + i, f"http://h.example/{i}", page.format(a=some_words(r, 20))) for i in range(7)]
+    rows += [(20 + i, f"http://h.example/{i}", other.format(a=some_words(r, 20))) for i in range(5)]
+    rows += [(40 + i, f"http://two.example/{i}", page.format(a=some_words(r, 20))) for i in range(2)]
+    got = texts_of(spark, rows)
+    assert got[0] == "" and got[1] == "Error 404"
+    for i, _, h in rows[2:]:
+        assert got[i] == re.search("<p>(.*)</p>", h)[1]
+
+
 def test_noise_elements_go():
     page = (
         "<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class='cookie-notice'>ok?</div><main><article><header><h1>Title</h1></header>"
