@@ -15,8 +15,8 @@ from .common import chunks, map_arrow, mix64, text_buffers, written
 from .shingles import powers
 
 WINDOW, CHUNKS, LEAST_BLOCK = 7, 48, 3
-#: All bytes after so many chunks, less one, are the last chunk.
-DIGITS_MOST = 64
+#: The block is halved while a signature has fewer digits than the first, unless it would have more than the last then.
+DIGITS_LEAST, DIGITS_MOST = CHUNKS // 2, 64
 DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _U = np.uint64
 
@@ -29,11 +29,23 @@ def block_size(n: int) -> int:
     return size
 
 
+def chunk_ends(rolling: np.ndarray, block: int) -> np.ndarray:
+    """Where the chunks end: after each byte at which the rolling hash is -1 modulo block, after each 2 * block bytes without one, and at the end."""
+    n = len(rolling)
+    ends = np.flatnonzero(rolling % _U(block) == _U(block - 1)) + 1
+    ends = np.append(ends[ends < n], n)
+    begins = np.append(0, ends[:-1])
+    pieces = (ends - begins - 1) // (2 * block) + 1
+    at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.minimum(np.repeat(begins, pieces) + (at + 1) * 2 * block, np.repeat(ends, pieces))
+
+
 def fingerprint(data: np.ndarray) -> str:
     """`block:signature:signature at twice the block` of some bytes; equal bytes have equal fingerprints.
 
-    A chunk ends at each byte whose WINDOW bytes hash to -1 modulo the block size, and at the end; its digit is
-    six bits of the hash of its bytes. Empty input gives `3::`.
+    A chunk ends at each byte whose WINDOW bytes hash to -1 modulo the block size, after two blocks without such
+    a byte, and at the end; its digit is six bits of the hash of its bytes. The block size follows from the length and is
+    then halved if there are few digits; no chunk is left out. Empty input gives `3::`.
     """
     n = len(data)
     size = block_size(n)
@@ -44,10 +56,11 @@ def fingerprint(data: np.ndarray) -> str:
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[:n], out=sums[1:])
     first = np.maximum(np.arange(1, n + 1) - WINDOW, 0)
     rolling = mix64((sums[1:] - sums[first]) * down[first]) >> _U(20)
+    while size > LEAST_BLOCK and len(chunk_ends(rolling, size)) < DIGITS_LEAST and len(chunk_ends(rolling, size // 2)) <= DIGITS_MOST:
+        size //= 2
     parts = []
     for block in (size, 2 * size):
-        ends = np.flatnonzero(rolling % _U(block) == _U(block - 1)) + 1
-        ends = np.append(ends[ends < n][: DIGITS_MOST - 1], n)
+        ends = chunk_ends(rolling, block)
         begins = np.append(0, ends[:-1])
         hashed = mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
         parts.append(DIGITS[(hashed >> _U(58)).astype(np.int64)].tobytes().decode())
@@ -58,15 +71,17 @@ def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Edit distances of many pairs of short strings, one step of the table for all pairs at a time."""
     out = np.zeros(len(pairs), np.int64)
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
-    for k in range(0, len(order), 512):
-        some = order[k : k + 512]
+    k = 0
+    while k < len(order):
+        many = max(1, min(512, (1 << 22) // (1 + max(len(x) for i in order[k : k + 512] for x in pairs[i]))))
+        some, k = order[k : k + many], k + many
         la, lb = (np.array([len(pairs[i][x]) for i in some]) for x in (0, 1))
         a, b = (np.zeros((len(some), max(1, int(m.max()))), np.uint8) for m in (la, lb))
         for row, i in enumerate(some):
             a[row, : la[row]] = np.frombuffer(pairs[i][0].encode(), np.uint8)
             b[row, : lb[row]] = np.frombuffer(pairs[i][1].encode(), np.uint8)
         width = b.shape[1]
-        steps = np.arange(width + 1, dtype=np.int16)
+        steps = np.arange(width + 1, dtype=np.int16 if width + a.shape[1] < 1 << 15 else np.int32)
         line = np.broadcast_to(steps, (len(some), width + 1)).copy()
         final = np.where(la == 0, lb, 0)
         for r in range(1, a.shape[1] + 1):

@@ -243,6 +243,17 @@ def test_edit_distance_and_likeness():
     assert near > 0.9 and far < 0.3
 
 
+def test_fingerprints_of_repetitive_texts():
+    r = random.Random(85)
+    for period in range(1, 60):
+        unit = " ".join(f"u{r.randrange(1000)}" for _ in range(period))
+        text = ((unit + " ") * 9000)[:14000].encode()
+        other = some_words(r, 2000)[:7000].encode()
+        a, b = (fuzzy_hash.fingerprint(np.frombuffer(t, np.uint8)) for t in (text, text[:9334] + other[:4666]))
+        assert len(a.split(":")[1]) >= 6
+        assert fuzzy_hash.likenesses([(a, b)])[0] > 0.3
+
+
 def test_archives_reject_damage():
     good = warc.record_bytes("response", 1, "http://x", b"payload", warc.digest_of(b"payload"), None)
     both = good + warc.record_bytes("revisit", 2, "http://y", b"payload", warc.digest_of(b"payload"), 1)
