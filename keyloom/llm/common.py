@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import run_dir, shared_dir, written
 
-__all__ = ["WORD", "chunks", "hot_limit", "lookup", "map_arrow", "mix64", "run_dir", "shared_dir", "ship", "text_buffers", "written"]
+__all__ = ["WORD", "chunks", "free", "hot_limit", "lookup", "map_arrow", "mix64", "run_dir", "shared_dir", "ship", "text_buffers", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 100_000
 #: Under so many rows a key is never hot.
 HOT_ROWS = 50
+#: A hot key's row of more bytes is not broadcast.
+HOT_BYTES = 4096
 
 
 _shipped: set[str] = set()
@@ -51,25 +53,46 @@ def hot_limit(total: int, keys: int = HOT_KEYS) -> int:
     return max(HOT_ROWS, total // keys)
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, spread: Column, into: str, most: int = HOT_KEYS) -> DataFrame:
+def free(name: str, *frames: DataFrame) -> str:
+    """name, or name with underscores after it if one of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, spread: Column, into: str, most: int = HOT_KEYS, size: Column | None = None
+) -> DataFrame:
     """rows with the matching row of table (one row per keys, columns besides the keys) as struct `into`, null where none.
 
-    table's column `count` bounds the rows of each key; keys over hot_limit(total, most), at most `most` of them,
-    are broadcast, and the rows they match are spread over the partitions of the join that serves the others.
+    table's column `count` bounds the rows of each key. Keys over hot_limit(total, most), at most `most` of them, are
+    broadcast, and the rows they match are spread over the partitions of the join that serves the others. `size` bounds
+    the bytes of a row of table (fixed and small if not given); of hot keys with over HOT_BYTES only the number of copies is broadcast, and
+    their row goes to that many places, between which the rows they match are dealt. rows may have any columns but `into`.
     """
     limit = hot_limit(total, most)
     values = [c for c in table.columns if c not in keys]
-    side = table.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_v"))
-    hot = side.where(F.col(f"_v.{count}") > limit).withColumnRenamed("_v", "_hot")
-    # 0, but no constant: a constant would leave the join's keys, and the rows of hot keys would meet by key after all
-    cold = side.where(F.col(f"_v.{count}") <= limit).withColumn("_s", F.pmod(F.col(f"_v.{count}"), F.lit(1)).cast("long"))
-    on = functools.reduce(lambda a, b: a & b, (rows[k] == hot[f"_k{i}"] for i, k in enumerate(keys)))
-    marked = rows.join(F.broadcast(hot), on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
-    nothing = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys), F.col("_hot").isNotNull())
-    marked = marked.withColumn("_p", F.when(nothing, F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("long"))
-    on = functools.reduce(lambda a, b: a & b, (marked[k] == cold[f"_k{i}"] for i, k in enumerate(keys)))
-    joined = marked.join(cold, on & (marked["_p"] == cold["_s"]), "left")
-    return joined.withColumn(into, F.coalesce("_hot", "_v")).drop("_hot", "_v", "_p", "_s", *(f"_k{i}" for i in range(len(keys))))
+    own = [free(f"_k{i}", rows) for i in range(len(keys))]
+    value, hot_value, places, place, at = (free(n, rows) for n in ("_v", "_hot", "_places", "_place", "_at"))
+    side = table.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.struct(*values).alias(value), (F.lit(0) if size is None else size).alias(at))
+    n = F.col(f"{value}.{count}")
+    small = F.col(at) <= HOT_BYTES
+    wanted = F.when(small, 0).otherwise(F.ceil(n / limit))
+    hot = side.where(n > limit).select(*own, F.when(small, F.col(value)).alias(hot_value), wanted.cast("long").alias(places))
+    # 0 for cold keys, but no constant: a constant would leave the join's keys, and the rows of hot keys would meet by key after all
+    if size is None:
+        cold = side.where(n <= limit).withColumn(at, F.pmod(n, F.lit(1)).cast("long"))
+    else:
+        cold = side.where((n <= limit) | ~small).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.when(n <= limit, 0).otherwise(F.ceil(n / limit) - 1).cast("long"))))
+    on = functools.reduce(lambda a, b: a & b, (rows[k] == hot[o] for k, o in zip(keys, own)))
+    marked = rows.join(F.broadcast(hot), on, "left").drop(*own)
+    served = functools.reduce(lambda a, b: a | b, (F.col(f"`{k}`").isNull() for k in keys), F.col(hot_value).isNotNull())
+    dealt = F.xxhash64(spread)
+    marked = marked.withColumn(place, F.when(served, -1 - F.pmod(dealt, F.lit(1 << 20))).when(F.col(places) > 0, F.pmod(dealt, F.col(places))).otherwise(F.lit(0)).cast("long"))
+    on = functools.reduce(lambda a, b: a & b, (marked[k] == cold[o] for k, o in zip(keys, own)))
+    joined = marked.join(cold, on & (marked[place] == cold[at]), "left")
+    return joined.withColumn(into, F.coalesce(hot_value, value)).drop(hot_value, value, places, place, at, *own)
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
