@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -28,6 +29,7 @@ BLOCK = frozenset(
     "button svg object canvas center".split()
 )
 NEVER = frozenset("head script style textarea title xmp nav aside footer form noscript iframe template menu select button svg object canvas dialog".split())
+UNSEEN = frozenset("head script style textarea title xmp template".split())
 CONTAINER = frozenset("html body div section article main table tbody tr td center".split())
 #: Start tags that end an open element, and what bounds the search for it.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
@@ -38,26 +40,29 @@ NOISE = frozenset(
     "subscribe signup login search searchbox comment comments reply replies respond disqus discussion share sharing social related "
     "recommended widget toolbar pagination pager complementary dialog".split()
 )
+#: Those of them that count in inline elements, whose names often say what a word is about.
+INLINE_NOISE = frozenset("ad ads adbox adslot advert adverts advertisement banner sponsor sponsored promo promotion share sharing social newsletter cookie cookies".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "items", "noise", "holds", "parent", "number")
+    __slots__ = ("tag", "names", "items", "noise", "holds", "parent", "number", "inline", "plain")
 
-    def __init__(self, tag: str, names: str, parent: Node | None) -> None:
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: str, parent: Node | None, inline: bool = False) -> None:
+        self.tag, self.names, self.parent, self.inline = tag, names, parent, inline
+        self.plain = 0  # open elements of the same tag in an inline one that are no nodes
         self.items: list[str | Node] = []
         words = {w.lower() for w in _WORD.findall(names)} if names else ()
-        self.noise = tag in NEVER or not NOISE.isdisjoint(words)
+        self.noise = tag in NEVER or not (INLINE_NOISE if inline else NOISE).isdisjoint(words)
         self.holds = tag in ("article", "main")
         self.number = -1
 
 
 def parse(text: str) -> Node:
-    """The block elements of a page as a tree, with their text; unclosed and stray tags are tolerated."""
+    """The block elements of a page, and the inline ones with names, as a tree with their text; unclosed and stray tags are tolerated."""
     root = Node("#", "", None)
     at, i = root, 0
     opened: dict[str, int] = defaultdict(int)  # open elements by name
@@ -70,6 +75,13 @@ def parse(text: str) -> Node:
             up = up.parent
         return up
 
+    def around(tag: str) -> Node | None:
+        """The inline element of that tag that holds the place, within its block."""
+        n = at
+        while n.inline and n.tag != tag:
+            n = n.parent
+        return n if n.inline else None
+
     while i < len(text):
         m = _TAG.search(text, i)
         if not m:
@@ -87,6 +99,11 @@ def parse(text: str) -> Node:
                 while n.tag != tag:
                     n = n.parent
                 at = close(n)
+            elif tag not in BLOCK and (n := around(tag)):
+                if n.plain:
+                    n.plain -= 1
+                else:
+                    at = close(n)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -96,7 +113,17 @@ def parse(text: str) -> Node:
             end = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(text, i)
             i = end.end() if end else len(text)
             continue
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
         if tag not in BLOCK:
+            if m[3].endswith("/"):
+                continue
+            if names:
+                node = Node(tag, names, at, True)
+                at.items.append(node)
+                at = node
+                opened[tag] += 1
+            elif n := around(tag):
+                n.plain += 1
             continue
         if tag in ENDS:
             ended, bound = ENDS[tag]
@@ -112,7 +139,6 @@ def parse(text: str) -> Node:
                 n = n.parent
             if n.tag == "p":
                 at = close(n)
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])) if m[3] else ""
         node = Node(tag, names, at)
         at.items.append(node)
         if node.holds:
@@ -126,8 +152,10 @@ def parse(text: str) -> Node:
     return root
 
 
-def dropped(node: Node, inside: bool) -> bool:
+def dropped(node: Node, inside: bool, by_name: bool = True) -> bool:
     """Whether an element is never part of the article. What holds an article is kept; a header in one is, too."""
+    if not by_name:
+        return node.tag in UNSEEN
     if node.tag in NEVER:
         return not node.holds or node.tag != "form"
     if node.holds and not inside:
@@ -137,7 +165,7 @@ def dropped(node: Node, inside: bool) -> bool:
     return node.noise
 
 
-def blocks(node: Node, template: set[int], inside: bool = False, out: list[str] | None = None) -> list[str]:
+def blocks(node: Node, template: set[int], inside: bool = False, out: list[str] | None = None, by_name: bool = True) -> list[str]:
     """The texts of a tree's blocks in page order, without template nodes and what is dropped."""
     out = [] if out is None else out
     held: list[str] = []
@@ -148,27 +176,29 @@ def blocks(node: Node, template: set[int], inside: bool = False, out: list[str]
                 out.append(s)
             held.clear()
 
-    def begun(n: Node, inside: bool) -> tuple[Iterator[str | Node], bool, bool]:
-        return iter(n.items), n.number in template, inside or n.tag in ("article", "main")
+    def begun(n: Node, inside: bool) -> tuple[Iterator[str | Node], bool, bool, bool]:
+        return iter(n.items), n.number in template, inside or n.tag in ("article", "main"), n.inline
 
     todo = [begun(node, inside)]
     while todo:
-        items, constant, inside = todo[-1]
+        items, constant, inside, _ = todo[-1]
         for x in items:
             if not isinstance(x, str):
-                flush()
-                if not dropped(x, inside):
+                if not x.inline:
+                    flush()
+                if not dropped(x, inside, by_name):
                     todo.append(begun(x, inside))
                     break
             elif not constant:
                 held.append(x)
         else:
-            flush()
-            todo.pop()
+            ended = todo.pop()
+            if not ended[3]:
+                flush()
     return out
 
 
-#: Layouts of hosts whose skeleton (a kilobyte or two) is broadcast, at most.
+#: Layouts of hosts whose skeleton is broadcast, at most; those over lookup's HOT_BYTES are not.
 HOT_HOSTS = 10_000
 
 #: A skeleton: for each node in page order its parent, label, checksum of its own text, and that text's length.
@@ -183,7 +213,7 @@ def skeleton(root: Node) -> Skeleton:
         run, parent = todo.pop()
         number = len(out)
         text = " ".join(" ".join("".join(x for x in n.items if isinstance(x, str)).split()) for n in run).strip()
-        out.append([parent, f"{run[0].tag} {run[0].names}".strip(), zlib.crc32(text.encode()), len(text)])
+        out.append([parent, "~" * run[0].inline + f"{run[0].tag} {run[0].names}".strip(), zlib.crc32(text.encode()), len(text)])
         for n in run:
             n.number = number
         children = [x for n in run for x in n.items if isinstance(x, Node)]
@@ -249,10 +279,17 @@ def heaviest(left: tuple, right: tuple, weigh: Callable[[int, int], int]) -> tup
 
 
 def layout(bones: Skeleton) -> str:
-    """A digest of a skeleton without its texts; empty if it has no text."""
+    """A digest of a skeleton's block elements without texts; empty if it has no text."""
     if not any(x[3] for x in bones):
         return ""
-    return hashlib.md5(json.dumps([x[:2] for x in bones]).encode()).hexdigest()
+    place: dict[int, int] = {-1: -1}
+    kept = []
+    for i, (parent, label, *_) in enumerate(bones):
+        place[i] = place[parent]
+        if not label.startswith("~"):
+            place[i] = len(kept)
+            kept.append((place[parent], label))
+    return hashlib.md5(json.dumps(kept).encode()).hexdigest()
 
 
 def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
@@ -322,15 +359,55 @@ def match(a: Skeleton, b: Skeleton) -> dict[int, int]:
     return found
 
 
-#: A node is template if its text is the same on this share of the other documents that have it, one at least.
-CONSTANT, LEAST_PAGES = 0.6, 1
+#: A node is template if its text is the reference's on this share of the other documents that have it.
+CONSTANT = 0.6
+#: A slot outside the core rotates if so many documents, and this share of them, have a text there that another document has.
+ROTATES, LEAST_REPEATS = 0.1, 3
+#: The core is the lowest container that holds more than this share of the text that is new with each document.
+CORE = 0.5
 #: A layout with so many distinct bodies has a reference of its own; rarer ones share that of the host's commonest layout.
 OWN_LAYOUT = 4
 
+#: Of a reference's node over the other documents that have it: how many they are, how many have the reference's text,
+#: how many have a text that occurs on another document, and the characters of all.
+Seen = tuple[int, int, int, int]
+
+
+@dataclass
+class Wrapper:
+    """What the documents of one layout of a host say of its reference page."""
 
-def wrapper(ref: Skeleton, seen: dict[int, tuple[int, int]]) -> set[int]:
-    """Template nodes of a reference page; seen: for each node the pages that have it, and those with the same text."""
-    return {i for i, (n, same) in seen.items() if n >= LEAST_PAGES and same >= CONSTANT * n and ref[i][3]}
+    ref: Skeleton
+    constant: set[int]  # nodes whose text is the template's
+    rotating: set[int]  # slots outside the core whose texts come back: menus, adverts, notices by turns
+    core: int  # the lowest container with most of the text that is new with each document; -1 if there is no evidence
+
+
+def below(bones: Skeleton, node: int) -> set[int]:
+    """A node and all under it; they follow it in the order of numbers."""
+    found = {node}
+    for i in range(node + 1, len(bones)):
+        if bones[i][0] in found:
+            found.add(i)
+    return found
+
+
+def wrapper(ref: Skeleton, seen: dict[int, Seen]) -> Wrapper:
+    """The template, the rotating slots and the core of a reference page."""
+    constant = {i for i, (n, same, *_) in seen.items() if same >= CONSTANT * n and ref[i][3]}
+    again = {i for i, (n, _, repeats, _) in seen.items() if i not in constant and repeats >= max(LEAST_REPEATS, ROTATES * n)}
+    mass = [0] * len(ref)
+    for i, (*_, chars) in seen.items():
+        if i not in constant and i not in again:
+            mass[i] = chars
+    for i in range(len(ref) - 1, 0, -1):  # a node's parent comes before it
+        mass[ref[i][0]] += mass[i]
+    if not seen or not mass[0]:
+        return Wrapper(ref, constant, set(), -1)
+    core = max(i for i in range(len(ref)) if mass[i] > CORE * mass[0])  # those that hold so much are one path
+    while core and ref[core][1].split(" ")[0] not in CONTAINER:
+        core = ref[core][0]
+    return Wrapper(ref, constant, again - below(ref, core), core)
 
 
 #: The word triples of a page's text with the least hashes; pages that share so much of them are copies of one document.
@@ -352,6 +429,17 @@ def copies(a: list[int], b: list[int]) -> bool:
     return sum(x in both for x in least) >= COPY * len(least)
 
 
+MARKS = 4
+
+
+def marks(text: list[int]) -> list[int]:
+    """The least hash of each class of a sketch; two copies have at least one in common but for a chance of a few percent."""
+    out = [0] * MARKS
+    for h in reversed(text):
+        out[h % MARKS] = h
+    return out
+
+
 def articles_of(tree: Node) -> list[Node]:
     """The outermost article and main elements in page order."""
     todo, found = [tree], []
@@ -372,27 +460,28 @@ def body(tree: Node) -> str:
     return " ".join(out)
 
 
-def extract(page: str, ref: Skeleton | None, template: set[int], root: int = 0) -> str:
-    """The text of a page's articles, or else of the page (of what is aligned with `root`), without template nodes and what is dropped."""
+def extract(page: str, induced: Wrapper | None, by_name: bool = True) -> str:
+    """The text of a page's content: what the wrapper leaves of it, within its articles if the core lies in them.
+
+    Nodes that are aligned with the template and have its text go, and so do those aligned with rotating slots. Names
+    of elements and classes then remove what varies with the page but is no article; by_name=False leaves that, and
+    the bound by article elements, to the wrapper alone.
+    """
     tree = parse(page)
     own = skeleton(tree)
     mine: set[int] = set()
-    top = 0
-    if ref is not None:
-        aligned = match(ref, own)
-        mine = {aligned[i] for i in template if i in aligned and own[aligned[i]][2:] == ref[i][2:]}
-        top = aligned.get(root, 0)
-    found = articles_of(tree)
-    todo = [] if found else [tree]
-    while todo:
-        n = todo.pop()
-        if n.number == top:
-            found.append(n)
-        else:
-            todo += [x for x in reversed(n.items) if isinstance(x, Node)]
+    core = -1
+    if induced is not None:
+        ref, aligned = induced.ref, match(induced.ref, own)
+        mine = {aligned[i] for i in induced.constant if i in aligned and own[aligned[i]][2:] == ref[i][2:]}
+        mine |= {aligned[i] for i in induced.rotating if i in aligned}
+        core = aligned.get(induced.core, -1)
+    found = articles_of(tree) if by_name else []
+    if found and core > 0 and not any(core in below(own, n) or n in below(own, core) for n in {n.number for n in found}):
+        found = []
     out: list[str] = []
-    for n in found:
-        blocks(n, mine, False, out)
+    for n in found or [tree]:
+        blocks(n, mine, False, out, by_name)
     return " ".join(out)
 
 
@@ -428,9 +517,14 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by host, reference's layout and node over the pages that are no copies of the reference, summed within each batch."""
+    """Of each node of a host's references the texts that documents have there: how many, and the least and the greatest of each of their marks.
+
+    Copies of the reference are left out. Documents with a mark in common may be copies of one another.
+    """
+    kinds = {"host": pa.string(), "kind": pa.string(), "node": pa.int32(), "text": pa.int64(), "chars": pa.int64(), "is_ref": pa.bool_(), "n": pa.int64()}
+    kinds |= {f"{x}{i}": pa.int64() for i in range(MARKS) for x in ("low", "high")}
     for batch in batches:
-        tally: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0])
+        tally: dict[tuple, list[int]] = {}
         refs: dict[tuple[str, str], Skeleton] = {}
         for host, own, text, kind, ref, ref_text in zip(*(c.to_pylist() for c in batch.columns)):
             if own == ref or copies(text, ref_text):
@@ -438,16 +532,22 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (host, kind) not in refs:
                 refs[host, kind] = json.loads(ref)
             a, b = refs[host, kind], json.loads(own)
+            own_marks = marks(text)
             for x, y in match(a, b).items():
-                t = tally[host, kind, x]
+                if not a[x][3] and not b[y][3]:
+                    continue
+                key = (host, kind, x, b[y][2], b[y][3], a[x][2:] == b[y][2:])
+                t = tally.setdefault(key, [0, *(m for m in own_marks for _ in range(2))])
                 t[0] += 1
-                t[1] += a[x][2:] == b[y][2:]
+                for i, m in enumerate(own_marks):
+                    t[1 + 2 * i], t[2 + 2 * i] = min(t[1 + 2 * i], m), max(t[2 + 2 * i], m)
         if tally:
-            keys, values = list(tally), list(tally.values())
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([k[c] for k in keys], pa.string()) for c in range(2)), pa.array([k[2] for k in keys], pa.int32()), *(pa.array([v[c] for v in values], pa.int64()) for c in range(2))],
-                names=["host", "kind", "node", "pages", "same"],
-            )
+            rows = [(*k, *v) for k, v in tally.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+
+def _bytes() -> Column:
+    return F.octet_length("ref") + 8 * SKETCH
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -455,9 +555,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Pages of a host with equal trees of labels are one layout. The page with the least id of each common layout is a
     reference, for the rest that of the host's commonest; pages without text are none. The pages that are other documents,
-    each body once, are aligned with their reference, and counts over them tell template from slots. Counts are summed
-    where the pages lie; references and wrappers are skeletons without text. Null html counts as empty; pages
-    without url are a host of their own; a host of one page is its own wrapper; rows repeated with one id each give a row.
+    each body once, are aligned with their reference, and counts over them tell template from slots, and slots whose
+    texts come back with other documents from those that are new with each. Counts are summed where the pages lie;
+    references and wrappers are skeletons without text.
+
+    Null and empty html give an empty text; pages without url are a host of their own; a host of one page is its own
+    wrapper; rows repeated with one id each give a row; ties for the reference go by id, then skeleton. Whole pages are
+    read at any length. An empty table gives none; other columns, whatever their names, play no part.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType
@@ -471,19 +575,25 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     first = F.min(F.struct((-F.col("bodies")).alias("_n"), "id", "layout", "ref", "ref_sketch"))
     main = kinds.groupBy("host").agg(first.alias("_f"), F.count("*").alias("n")).select("host", "n", F.col("_f.layout").alias("kind"), F.col("_f.ref").alias("ref"), F.col("_f.ref_sketch").alias("ref_sketch"))
     own = F.col("bodies") >= OWN_LAYOUT
-    refs = lookup(kinds, written(main, "main"), ["host"], "n", total, F.col("layout"), "_m", HOT_HOSTS)
+    refs = lookup(kinds, written(main, "main"), ["host"], "n", total, F.col("layout"), "_m", HOT_HOSTS, _bytes())
     either = [F.when(own, F.col(a)).otherwise(F.col(f"_m.{b}")).alias(b) for a, b in (("layout", "kind"), ("ref", "ref"), ("ref_sketch", "ref_sketch"))]
     refs = written(refs.select("host", "layout", "n", *either), "refs")
-    with_ref = lookup(texts, refs, ["host", "layout"], "n", total, F.col("id"), "_r", HOT_HOSTS).select("host", "skeleton", "sketch", "_r.kind", "_r.ref", "_r.ref_sketch")
-    tallies = map_arrow(with_ref, _tallies, "host string, kind string, node int, pages long, same long")
-    tallies = tallies.groupBy("host", "kind", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    seen = tallies.groupBy("host", "kind").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same"))).alias("seen"))
+    with_ref = lookup(texts, refs, ["host", "layout"], "n", total, F.col("id"), "_r", HOT_HOSTS, _bytes()).select("host", "skeleton", "sketch", "_r.kind", "_r.ref", "_r.ref_sketch")
+    tallies = map_arrow(with_ref, _tallies, "host string, kind string, node int, text long, chars long, is_ref boolean, n long, " + ", ".join(f"low{i} long, high{i} long" for i in range(MARKS)))
+    values = tallies.groupBy("host", "kind", "node", "text", "chars", "is_ref").agg(
+        F.sum("n").alias("n"), *(f(f"{x}{i}").alias(f"{x}{i}") for i in range(MARKS) for f, x in ((F.min, "low"), (F.max, "high")))
+    )
+    again = F.expr(" and ".join(["chars > 0", *(f"low{i} != high{i}" for i in range(MARKS))]))
+    values = values.groupBy("host", "kind", "node").agg(
+        F.sum("n").alias("pages"), F.sum(F.when(F.col("is_ref"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(again, F.col("n")).otherwise(0)).alias("again"), F.sum(F.col("n") * F.col("chars")).alias("chars")
+    )
+    seen = values.groupBy("host", "kind").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "again", "chars"))).alias("seen"))
     seen = written(seen.join(refs.groupBy("host", "kind").agg(F.count("*").alias("layouts")), ["host", "kind"]), "seen")
-    wrappers = lookup(refs.drop("ref_sketch"), seen, ["host", "kind"], "layouts", total, F.col("layout"), "_t", HOT_HOSTS)
+    wrappers = lookup(refs.drop("ref_sketch"), seen, ["host", "kind"], "layouts", total, F.col("layout"), "_t", HOT_HOSTS, 48 * F.size("seen"))
     wrappers = written(wrappers.select("host", "layout", "n", "ref", F.col("_t.seen").alias("seen")), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -493,11 +603,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     if key not in known:
                         if len(known) > 200:
                             known.clear()
-                        bones = json.loads(ref) if ref else None
-                        known[key] = (bones, wrapper(bones, {s["node"]: (s["pages"], s["same"]) for s in seen or []}) if bones else set())
-                    texts.append(extract(page or "", *known[key]))
+                        known[key] = wrapper(json.loads(ref), {s["node"]: (s["pages"], s["same"], s["again"], s["chars"]) for s in seen or []}) if ref else None
+                    texts.append(extract(page or "", known[key]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     laid_out = map_arrow(rows, _laid_out, T.StructType([*rows.schema.fields, T.StructField("layout", T.StringType())]))
-    full = lookup(laid_out, wrappers, ["host", "layout"], "n", total, F.col("id"), "_w", HOT_HOSTS).select("id", "url", "html", F.col("_w.ref").alias("ref"), F.col("_w.seen").alias("seen"))
+    full = lookup(laid_out, wrappers, ["host", "layout"], "n", total, F.col("id"), "_w", HOT_HOSTS, F.octet_length("ref") + 48 * F.coalesce(F.size("seen"), F.lit(0))).select("id", "url", "html", F.col("_w.ref").alias("ref"), F.col("_w.seen").alias("seen"))
     return map_arrow(full, run, T.StructType([T.StructField(id_col, kind), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html
 import io
 import os
 import random
@@ -12,6 +13,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import bpe, components, exact_dedup, fuzzy_hash, html_extract, minhash, mixing, quality, secrets, toxicity, warc
@@ -296,9 +298,9 @@ def test_template_inside_article_goes_but_not_from_copies(spark):
 
 def test_deep_elements_close_themselves():
     deep = "<div>" * 5000 + "<aside>side</aside><p>low</p>" + "</div>" * 5000
-    assert html_extract.extract(f"<body><div><article><p>head</p>{deep}<p>tail</p></article></div></body>", None, set(), 0) == "head low tail"
+    assert html_extract.extract(f"<body><div><article><p>head</p>{deep}<p>tail</p></article></div></body>", None) == "head low tail"
     below = "<div>" * 5000 + "<article>text</article>" + "</div>" * 5000
-    assert html_extract.extract(f"<body><p>x</p>{below}</body>", None, set(), 0) == "text"
+    assert html_extract.extract(f"<body><p>x</p>{below}</body>", None) == "text"
     bones = html_extract.skeleton(html_extract.parse(deep))
     assert html_extract.match(bones, bones) == {i: i for i in range(len(bones))}
 
@@ -378,13 +380,41 @@ def test_references_by_layout(spark):
         assert got[i] == re.search("<p>(.*)</p>", h)[1]
 
 
+def article_of(page):
+    inner = re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", re.search("<article>(.*?)</article>", page, re.DOTALL)[1])
+    return " ".join(html.unescape(re.sub("<[^>]*>", "", inner)).split())
+
+
+@needs_data
+def test_wrapper_alone_finds_the_articles(spark):
+    """With all elements of pages renamed to neutral ones, what is menu, advert, article or footer follows from the wrapper."""
+    pages = spark.read.parquet(f"{MIDDLE}/pages.parquet")
+    gold = {r.page_id: article_of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == gold
+    plain = pages
+    for k, tag in enumerate(("nav", "article", "footer")):
+        plain = plain.withColumn("html", F.replace(F.replace("html", F.lit(f"<{tag}>"), F.lit(f"<div class='c{k}'>")), F.lit(f"</{tag}>"), F.lit("</div>")))
+    plain = plain.withColumn("html", F.replace("html", F.lit('class="ad"'), F.lit('class="c9"')))
+    hosts = collections.defaultdict(list)
+    for r in html_extract.extract_text(plain).join(plain.select("page_id", "html"), "page_id").collect():
+        hosts[re.sub("^https?://([^/]+).*", r"\1", r.url)].append((r.text == gold[r.page_id], html_extract.extract(r.html, None) == gold[r.page_id]))
+    assert not any(without for v in hosts.values() for _, without in v)
+    assert sum(all(right for right, _ in v) for v in hosts.values()) >= 0.85 * len(hosts)
+    assert all(right for v in hosts.values() if len(v) >= 25 for right, _ in v)
+
+
+def test_inline_adverts_go_and_other_spans_stay():
+    page = "<article><p>one <span class='ad'>BUY <b>now</b></span> two<span class='x'>three <span>four</span> five</span> <a class='share-link' href='#'>tweet</a> <span class=header>six</span></p></article>"
+    assert html_extract.extract(page, None) == "one twothree four five six"
+
+
 def test_noise_elements_go():
     page = (
         "<html><head><title>t</title></head><body><header>Site</header><nav>menu</nav><div class='cookie-notice'>ok?</div><main><article><header><h1>Title</h1></header>"
         "<p>One&#8212;two.<p>Three <i>fo</i>ur<aside>side</aside><form>field<button>go</button></form><div class=\"ad\">buy</div><script>x='<p>no</p>'</script>"
         "<section class='comments'><p>first!</p></section></article></main><div class='sidebar'>more</div><footer>end</footer></body></html>"
     )
-    assert html_extract.extract(page, None, set(), 0) == "Title One—two. Three four"
+    assert html_extract.extract(page, None) == "Title One—two. Three four"
 
 
 def test_maximisation_finds_the_bad_labeller():
