@@ -43,8 +43,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
-    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_plan(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,17 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, mix64, text_buffers
+from .common import chunks, free, map_arrow, mix64, text_buffers, written
 from .shingles import powers
 
-#: Rows of the training sample at most, and code points of a text in it at most.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
+#: Rows of the training sample at most, and code points of all its texts together.
+TRAIN_ROWS, TRAIN_POINTS = 3000, 10_000_000
 BUCKETS, DIM, GRAMS = 1 << 20, 4, (3, 4, 5)
-EPOCHS, RATE, SHARPNESS = 60, 0.3, 60.0
-#: Texts at the overall share of ones that are added to each subword's counts.
-PSEUDO = 300.0
-#: Subwords whose log ratio is smaller have no vector.
-LEAST_RATIO = 0.2
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How a model is trained. The defaults are the best of a grid by cross_validated() on rows that aren't held out."""
+
+    epochs: int = 60
+    rate: float = 0.3
+    sharpness: float = 60.0  # by which the mean over a text's words is multiplied
+    pseudo: float = 300.0  # texts at the overall share of ones that are added to each subword's counts
+    least_ratio: float = 0.2  # subwords whose log ratio is smaller have no vector
+
 
 _U = np.uint64
 _SPACE = np.zeros(128, bool)
@@ -115,18 +122,18 @@ def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    score: np.ndarray  # of each bucket: its embedding's part in the log odds
+    score: np.ndarray  # of each bucket: its embedding's part in the log odds, times the sharpness
     bias: float
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         b = bags(texts)
         word = _sums(self.score[b.gram], b.begin) / np.maximum(np.diff(b.begin), 1)
         total = _sums(word[b.word], b.first)
-        z = self.bias + SHARPNESS * total / np.maximum(np.diff(b.first), 1)
+        z = self.bias + total / np.maximum(np.diff(b.first), 1)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _log_ratios(b: Bags, labels: np.ndarray) -> np.ndarray:
+def _log_ratios(b: Bags, labels: np.ndarray, pseudo: float) -> np.ndarray:
     """For each bucket, the smoothed log ratio of its document frequencies under label 1 and label 0; 0 if it is in no text."""
     share = float(np.mean(labels))
     found = np.zeros((2, BUCKETS))
@@ -136,14 +143,14 @@ def _log_ratios(b: Bags, labels: np.ndarray) -> np.ndarray:
         if runs:
             found[label, np.unique(np.concatenate(runs))] += 1
     n = np.bincount(labels, minlength=2)
-    prior = PSEUDO * np.array([1 - share, share])
+    prior = pseudo * np.array([1 - share, share])
     odds = [np.log((found[k] + prior[k]) / (n[k] + prior[k])) for k in (0, 1)]
     ratio = odds[1] - odds[0]
     ratio[found.sum(0) == 0] = 0
     return ratio.astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
+def train(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -> Model:
     """Embeddings and softmax weights together, by gradient steps over all texts.
 
     A subword's vector is scaled by the square of its smoothed log ratio, and starts at that ratio along one direction, so that
@@ -157,16 +164,16 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), bias)
     b = many_bags(texts)
     n_words, n_texts = len(b.begin) - 1, len(texts)
-    ratio = _log_ratios(b, labels)
+    ratio = _log_ratios(b, labels, settings.pseudo)
     size = np.diff(b.first)
     pair = np.repeat(np.arange(n_texts), size) * np.int64(n_words) + b.word
     pair, count = np.unique(pair, return_counts=True)
     text, word = pair // n_words, pair % n_words
-    weight = (SHARPNESS * count / size[text]).astype(np.float32)[:, None]
+    weight = (settings.sharpness * count / size[text]).astype(np.float32)[:, None]
     text_begin = np.searchsorted(text, np.arange(n_texts + 1))
     by_word = np.argsort(word, kind="stable")
     word_begin = np.searchsorted(word[by_word], np.arange(n_words + 1))
-    telling = np.abs(ratio) >= LEAST_RATIO
+    telling = np.abs(ratio) >= settings.least_ratio
     holder = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(b.begin))[telling[b.gram]]
     begin = np.searchsorted(holder, np.arange(n_words + 1))
     used, gram = np.unique(b.gram[telling[b.gram]], return_inverse=True)
@@ -184,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     moved = [np.zeros_like(p) for p in params]
     spread = [np.zeros_like(p) for p in params]
     target = np.eye(2, dtype=np.float32)[labels]
-    for step in range(EPOCHS):
+    for step in range(settings.epochs):
         e, w, c = params
         words = _sums((e * scale)[gram], begin) * share
         hidden = _sums(words[word] * weight, text_begin)
@@ -201,26 +208,48 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             moved[i] = 0.9 * moved[i] + 0.1 * g
             spread[i] = 0.99 * spread[i] + 0.01 * g * g
             near = np.sqrt(spread[i] / (1 - 0.99 ** (step + 1))) + 1e-9
-            params[i] = params[i] - RATE * moved[i] / (1 - 0.9 ** (step + 1)) / near
+            params[i] = params[i] - settings.rate * moved[i] / (1 - 0.9 ** (step + 1)) / near
     e, w, c = params
     score = np.zeros(BUCKETS, np.float32)
-    score[used] = (e * scale) @ (w[:, 1] - w[:, 0])
+    score[used] = settings.sharpness * ((e * scale) @ (w[:, 1] - w[:, 0]))
     return Model(score, float(c[1] - c[0]))
 
 
+def cross_validated(texts: list[str], labels: np.ndarray, settings: Settings = Settings(), folds: int = 4) -> dict[str, float]:
+    """Log loss, precision and recall over all rows, each scored by a model of the other folds. For rows that aren't held out."""
+    fold = np.arange(len(texts)) % folds
+    p = np.zeros(len(texts))
+    for k in range(folds):
+        rest = np.flatnonzero(fold != k)
+        model = train([texts[i] for i in rest], labels[rest], settings)
+        some = np.flatnonzero(fold == k)
+        for at in range(0, len(some), 200):
+            p[some[at : at + 200]] = model.probabilities([texts[i] for i in some[at : at + 200]])
+    near = np.clip(np.where(labels == 1, p, 1 - p), 1e-9, 1)
+    hit = float(((p >= 0.5) & (labels == 1)).sum())
+    return {"loss": float(-np.log(near).mean()), "precision": hit / max(1, (p >= 0.5).sum()), "recall": hit / max(1, labels.sum())}
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """At most TRAIN_ROWS labelled rows that are not held out, by a hash of the id; texts of over TRAIN_CHARS are left out."""
+    """Labelled rows that are not held out, by a hash of the id: at most TRAIN_ROWS, and of them as many as have TRAIN_POINTS
+    code points together. An id that several rows have counts once, with the least of their texts and the greatest label."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    ids = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(TRAIN_ROWS).withColumnRenamed(id_col, "_id")
-    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.length("_text") <= TRAIN_CHARS)
-    rows = found.join(F.broadcast(ids), found[id_col] == F.col("_id")).select("_id", "_text", "_label").toArrow()
-    rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return rows["_text"].to_pylist(), np.minimum(rows["_label"].to_numpy(), 1)
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    ids = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(TRAIN_ROWS)
+    found = docs.select(F.col(id_col).alias("_own"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    rows = found.join(F.broadcast(ids), F.col("_own") == F.col("_id")).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = written(rows.withColumn("_place", F.xxhash64(F.col("_id").cast("string"))), "sample")
+    sizes = rows.select("_place", "_id", F.length("_text").alias("_n")).orderBy("_place", "_id").collect()  # TRAIN_ROWS at most
+    total = np.cumsum([r["_n"] for r in sizes])
+    some = int(np.searchsorted(total, TRAIN_POINTS, "right"))
+    if some < len(sizes):
+        rows = rows.where(F.struct("_place", "_id") < F.struct(F.lit(sizes[some]["_place"]).alias("_place"), F.lit(sizes[some]["_id"]).alias("_id")))
+    got = rows.orderBy("_place", "_id").select("_text", "_label").toArrow()
+    return got["_text"].to_pylist(), np.minimum(got["_label"].to_numpy(), 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -240,17 +269,29 @@ def score_table(docs: DataFrame, model: Model, text_col: str = "text", into: str
                 yield pa.RecordBatch.from_arrays([*(batch.column(1 + n).slice(i, j - i) for n in range(len(keep))), pa.array(p)], names=[*keep, into])
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(into, T.DoubleType())])
-    return map_arrow(docs.select(docs[text_col].alias("_text"), *(docs[k] for k in keep)), run, schema)
+    return map_arrow(docs.select(docs[text_col].alias(free("_text", docs)), *(docs[k] for k in keep)), run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+    """doc_id, held_out, score, predicted for each row of docs, also for repeated rows, in any order.
+
+    Null and empty texts and texts of white space get the model's prior; texts of any length are scored whole. Without
+    labels of both classes the share of ones is every score. A null id is held out as its (null) remainder says: never,
+    so held_out is false. Ties in the training order go by id. An empty table gives an empty result; other columns of
+    docs play no part.
+    """
     scored = score_table(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = F.coalesce(held_out(), F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score threshold or more; columns as they are."""
+    """docs without the rows that score threshold or more; all columns as they are, whatever their names.
+
+    Null and empty texts have the model's prior as score and stay unless most training texts are toxic; repeated rows
+    are decided alike; an empty table stays empty.
+    """
     names = tuple(docs.columns)
-    scored = score_table(docs, fit(docs, labels), into="_toxicity", keep=names)
-    return scored.where(F.col("_toxicity") < threshold).select(*(F.col(f"`{c}`") for c in names))
+    into = free("_toxicity", docs)
+    scored = score_table(docs, fit(docs, labels), into=into, keep=names)
+    return scored.where(F.col(into) < threshold).select(*(F.col(f"`{c}`") for c in names))

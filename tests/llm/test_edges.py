@@ -48,9 +48,10 @@ def table(spark, request):
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact(table, keep, monkeypatch):
     df, rows = table
-    for limit in (0, 50):  # all groups hot, and none
-        monkeypatch.setattr(exact_dedup, "hot_limit", lambda total, limit=limit: limit)
-        got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(df, keep=keep).collect()]
+    for limit, bits in ((0, 1 << 15), (50, 1)):  # all groups hot, and none; all rows marked as copies, and few
+        monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", limit)
+        monkeypatch.setattr(exact_dedup, "ROW_BITS", bits)
+        got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_plan(df, keep=keep).collect()]
         groups = collections.defaultdict(list)
         for i, t, _ in rows:
             groups[t or ""].append(i)
