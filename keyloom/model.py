@@ -45,6 +45,11 @@ class Index:
     related: str | None = None
     on_delete: OnDelete = "ABORT"
     only: Column | None = field(default=None, compare=False)
+    immutable: bool = False  # whether a write may never change a row's key
+
+    @property
+    def column(self) -> Column:
+        return F.col(self.key) if isinstance(self.key, str) else self.key
 
     @property
     def many(self) -> bool:
@@ -55,6 +60,14 @@ class Index:
         return self.relate in ("ONE_TO_ONE", "ONE_TO_MANY")
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """name, or name with underscores after it if one of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def equals(columns: tuple[str, ...], values: tuple) -> Column:
     out = F.lit(True)
     for c, v in zip(columns, values, strict=True):

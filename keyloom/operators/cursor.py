@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Table, equals
-from .ordered import neighbour, numbered, running
+from .ordered import at_place, neighbour, neighbour_key, numbered, running
 
 
 def up(columns) -> list[Column]:
@@ -30,13 +30,27 @@ def at_least(columns, values, strict: bool = False) -> Column:
     return left > right if strict else left >= right
 
 
+#: What an absolute kind compares with, and where a relative kind goes from no position at all.
+RELATIVE = {"NEXT": "FIRST", "NEXT_NO_DUP": "FIRST", "PREV": "LAST", "PREV_NO_DUP": "LAST", "NEXT_DUP": None, "PREV_DUP": None, "CURRENT": None}
+
+
 def get(table: Table, kind: str, key: tuple | None = None, data: tuple | None = None) -> DataFrame:
-    """At most one row: FIRST, LAST, SEARCH, SEARCH_BOTH, SEARCH_GTE or SEARCH_BOTH_GTE.
+    """At most one row: FIRST, LAST, SEARCH, SEARCH_BOTH, SEARCH_GTE, SEARCH_BOTH_GTE, or a kind relative to a position.
 
     SEARCH takes the least data of the key. SEARCH_BOTH_GTE takes the least data of the key at or after `data`, and
     in a table without duplicates is SEARCH_BOTH, whose data are all other columns.
+
+    CURRENT and the six movements take the position as key and data: the row there, or the one that the movement
+    reaches from there, whether a row is at the position or not. Without a position NEXT and NEXT_NO_DUP are FIRST,
+    PREV and PREV_NO_DUP are LAST, and the others have no meaning.
     """
     df, order = table.df, up(table.order)
+    if kind in RELATIVE:
+        if key is None:
+            if RELATIVE[kind] is None:
+                raise ValueError(f"{kind} needs a position")
+            return get(table, RELATIVE[kind])
+        return _beside(table, kind, key, data or ())
     if kind == "FIRST":
         return df.orderBy(*order).limit(1)
     if kind == "LAST":
@@ -54,22 +68,37 @@ def get(table: Table, kind: str, key: tuple | None = None, data: tuple | None =
     raise ValueError(f"unknown kind {kind}")
 
 
+def _beside(table: Table, kind: str, key: tuple, data: tuple) -> DataFrame:
+    here, columns = (*key, *data), table.order[: len(key) + len(data)]
+    condition = {
+        "CURRENT": lambda: equals(columns, here),
+        "NEXT": lambda: at_least(columns, here, strict=True),
+        "PREV": lambda: ~at_least(columns, here),
+        "NEXT_DUP": lambda: table.key_is(*key) & at_least(columns, here, strict=True),
+        "PREV_DUP": lambda: table.key_is(*key) & ~at_least(columns, here),
+        "NEXT_NO_DUP": lambda: at_least(table.key, key, strict=True),
+        "PREV_NO_DUP": lambda: ~at_least(table.key, key),
+    }[kind]()
+    return table.df.where(condition).orderBy(*(down if kind.startswith("PREV") else up)(table.order)).limit(1)
+
+
 def move(table: Table, kind: str, into: str = "moved") -> DataFrame:
     """Every row with the row that NEXT, PREV, NEXT_DUP, PREV_DUP, NEXT_NO_DUP or PREV_NO_DUP reaches from it, null if none.
 
     NEXT_NO_DUP reaches the first row of the next key, PREV_NO_DUP the last row of the previous key. NEXT and PREV
-    need a total order.
+    need a total order. The row reached is a struct of the key and data columns. No movement joins rows by key, so
+    that a key of many rows meets in no task.
     """
     df, order = table.df, list(table.order)
     if kind in ("NEXT", "PREV"):
         return neighbour(df, order, into, order, kind == "NEXT")
     if kind in ("NEXT_DUP", "PREV_DUP"):
-        rows = neighbour(df, order, into, order, kind == "NEXT_DUP")  # and not a window per key, which a hot key would fill
+        rows = neighbour(df, order, into, order, kind == "NEXT_DUP")
         same = F.struct(*table.key) == F.struct(*(F.col(f"{into}.{c}").alias(c) for c in table.key))
         return rows.withColumn(into, F.when(same, F.col(into)))
-    edges = first_of_keys(table) if kind == "NEXT_NO_DUP" else last_of_keys(table)
-    beside = neighbour(edges.select(*order), list(table.key), into, order, kind == "NEXT_NO_DUP").select(*table.key, into)
-    return df.join(beside, list(table.key), "left")
+    if kind in ("NEXT_NO_DUP", "PREV_NO_DUP"):
+        return neighbour_key(df, list(table.key), order, into, kind == "NEXT_NO_DUP")
+    raise ValueError(f"unknown kind {kind}")
 
 
 def first_of_keys(table: Table) -> DataFrame:
@@ -96,9 +125,9 @@ def skip(table: Table, count: int, start: tuple | None = None, forward: bool = T
     df = table.df
     if start is not None:
         df = df.where(at_least(table.key, start, strict=True) if forward else ~at_least(table.key, start))
-    near = df.orderBy(*(up if forward else down)(table.order)).limit(count)
-    far = near.orderBy(*(down if forward else up)(table.order)).limit(1)
-    return far.join(near.agg(F.count("*").alias("moved")), F.lit(True)) if count > 0 else df.limit(0).withColumn("moved", F.lit(0).cast("long"))
+    if count <= 0:
+        return df.limit(0).withColumn("moved", F.lit(0).cast("long"))
+    return at_place(df, list(table.order), count, not forward)
 
 
 class RangeError(ValueError):
@@ -152,6 +181,15 @@ def in_range(table: Table, bounds: KeyRange) -> Table:
     return table.of(table.df.where(bounds.condition(table.key[0])))
 
 
+def within(table: Table, bounds: KeyRange, data: KeyRange | None = None) -> Table:
+    """A cursor's range: the key within bounds, and (as for primary keys under a secondary one) the first data column too.
+
+    get() and move() on it stay inside: LAST is the last row in the range, with duplicates the last of the last key.
+    """
+    condition = bounds.condition(table.key[0])
+    return table.of(table.df.where(condition if data is None else condition & data.condition(table.data[0])))
+
+
 def with_prefix(table: Table, prefix: str) -> Table:
     return table.of(table.df.where(F.col(table.key[0]).startswith(prefix)))
 
@@ -164,4 +202,4 @@ def constrained(table: Table, start: tuple, condition: Column) -> DataFrame:
     return ends.where(F.col("_stop").isNull() | (F.struct(*table.order) < F.col("_stop"))).drop("_ok", "_stop")
 
 
-__all__ = ["KeyRange", "RangeError", "at_least", "constrained", "first_of_keys", "get", "in_range", "last_of_keys", "move", "numbered", "running", "scan", "skip", "with_prefix"]
+__all__ = ["KeyRange", "RangeError", "at_least", "constrained", "first_of_keys", "get", "in_range", "last_of_keys", "move", "numbered", "running", "scan", "skip", "with_prefix", "within"]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import written
+
 #: The types that each type widens to, in order.
 WIDER = {
     "tinyint": ("smallint", "int", "bigint", "float", "double", "decimal"),
@@ -40,13 +42,45 @@ class Convert:
     to: Callable[[Column], Column]
 
 
-Mutation = Rename | Drop | Convert
+@dataclass(frozen=True)
+class RenameType:
+    """The class of the rows has another name from the next version on."""
+
+    new: str
+
+
+@dataclass(frozen=True)
+class DropType:
+    """Rows of the class are gone from the next version on."""
+
+
+@dataclass(frozen=True)
+class ConvertRow:
+    """All fields at once: a function from the old columns to the new row, and old index keys that fall with it."""
+
+    to: Callable[[DataFrame], DataFrame]
+    deleted_keys: tuple[str, ...] = ()
+
+
+Mutation = Rename | Drop | Convert | RenameType | DropType | ConvertRow
 
 
 def evolve(df: DataFrame, version: int, mutations: dict[int, list[Mutation]]) -> DataFrame:
     """Rows of a version under the changes declared for it and each later one, in order; a view, not a rewrite."""
     for v in sorted(k for k in mutations if k >= version):
         for m in mutations[v]:
+            if isinstance(m, RenameType):
+                continue
+            if isinstance(m, DropType):
+                df = df.limit(0)
+                continue
+            if isinstance(m, ConvertRow):
+                if missing := [k for k in m.deleted_keys if k not in df.columns]:
+                    raise IncompatibleError(f"version {v} has no key {missing[0]}")
+                df = m.to(df)
+                if kept := [k for k in m.deleted_keys if k in df.columns]:
+                    raise IncompatibleError(f"{kept[0]} is deleted, but version {v} converts rows to it")
+                continue
             name = m.old if isinstance(m, Rename) else m.name
             if name not in df.columns:
                 raise IncompatibleError(f"version {v} has no field {name}")
@@ -59,6 +93,42 @@ def evolve(df: DataFrame, version: int, mutations: dict[int, list[Mutation]]) ->
     return df
 
 
+def type_name(name: str, version: int, mutations: dict[int, list[Mutation]]) -> str | None:
+    """What a class of a version is called now; None if it was dropped."""
+    for v in sorted(k for k in mutations if k >= version):
+        for m in mutations[v]:
+            if isinstance(m, DropType):
+                return None
+            if isinstance(m, RenameType):
+                name = m.new
+    return name
+
+
+def eager(versions: dict[int, DataFrame], mutations: dict[int, list[Mutation]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """All rows written under the present schema, and for each version n_read and n_converted: the rows that it changed."""
+    current = max(versions)
+    marked = None
+    for v, df in sorted(versions.items()):
+        one = widen(evolve(df, v, mutations), schema).withColumn("_version", F.lit(v))
+        marked = one if marked is None else marked.unionByName(one)
+    rows = written(marked, "evolved")
+    counts = rows.groupBy(F.col("_version").alias("version")).agg(F.count("*").alias("n_read"))
+    return rows.drop("_version"), counts.withColumn("n_converted", F.when(F.col("version") == current, 0).otherwise(F.col("n_read")).cast("long"))
+
+
+def model(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A row per field of the tables of a store: type, field, field_type, is_key, place."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(n, f.name, f.dataType.simpleString(), f.name in keys.get(n, ()), i) for n, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "type string, field string, field_type string, is_key boolean, place int")
+
+
+def raw_values(df: DataFrame, fields: dict[str, str], column: str = "raw") -> DataFrame:
+    """Fields of rows without a schema, by name and type; other columns stay, a field that a row lacks is null."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, *(F.get_json_object(column, f"$.{n}").cast(t).alias(n) for n, t in fields.items()))
+
+
 def widens(old: str, new: str) -> bool:
     return old == new or new.split("(")[0] in WIDER.get(old, ())
 

@@ -14,22 +14,32 @@ from .cursor import KeyRange, at_least, up
 def view(table: Table, index: Index) -> DataFrame:
     """(name, primary key) of every indexed row: one row per distinct secondary key of it."""
     rows = table.df if index.only is None else table.df.where(index.only)
-    key = F.col(index.key) if isinstance(index.key, str) else index.key
-    if index.many:
-        out = rows.select(F.explode(F.array_distinct(key)).alias(index.name), *table.key)
-    else:
-        out = rows.select(key.alias(index.name), *table.key)
-    return out.where(F.col(index.name).isNotNull())
+    return keyed(rows, index, index.name, table.key)
+
+
+def keyed(rows: DataFrame, index: Index, name: str, columns) -> DataFrame:
+    """The columns of rows, once per distinct secondary key (none null), with the key as column `name` before them."""
+    key = F.explode(F.array_distinct(index.column)) if index.many else index.column
+    out = rows.select(key.alias(name), *(F.col(f"`{c}`") for c in columns if c != name))
+    return out.where(F.col(f"`{name}`").isNotNull())
+
+
+def _rows(table: Table, index: Index) -> DataFrame:
+    return table.df if index.only is None else table.df.where(index.only)
 
 
 def entities(table: Table, index: Index, bounds: KeyRange | None = None) -> DataFrame:
-    """The primary rows by secondary key, once per key that leads to them, with the key as column `name`."""
-    keys = view(table, index)
-    if bounds is not None:
-        keys = keys.where(bounds.condition(index.name))
-    if index.name in table.df.columns and not index.many:
-        return keys.select(*table.key).join(table.df, list(table.key)) if index.key != index.name else table.df.where(F.col(index.name).isNotNull() & (F.lit(True) if index.only is None else index.only) & (F.lit(True) if bounds is None else bounds.condition(index.name)))
-    return keys.join(table.df, list(table.key))
+    """The primary rows by secondary key, once per key that leads to them, with the key as column `name`.
+
+    One scan: the key of a row is in the row, so bounds filter the scan and nothing is joined.
+    """
+    rows = _rows(table, index)
+    if bounds is not None and not index.many:
+        rows = rows.where(bounds.condition(index.column))
+    out = keyed(rows, index, index.name, table.df.columns)
+    if bounds is not None and index.many:
+        out = out.where(bounds.condition(index.name))
+    return out if index.name not in table.df.columns else out.select(*table.df.columns)
 
 
 def keys_index(table: Table, index: Index, bounds: KeyRange | None = None) -> DataFrame:
@@ -39,11 +49,9 @@ def keys_index(table: Table, index: Index, bounds: KeyRange | None = None) -> Da
 
 
 def sub_index(table: Table, index: Index, value, bounds: KeyRange | None = None) -> Table:
-    """The primary rows of one secondary key, keyed by primary key."""
-    keys = view(table, index).where(F.col(index.name) == F.lit(value)).select(*table.key)
-    if bounds is not None:
-        keys = keys.where(bounds.condition(table.key[0]))
-    return table.of(table.df.join(keys, list(table.key), "left_semi"))
+    """The primary rows of one secondary key, keyed by primary key: a filter on the scan."""
+    rows = table.df.where(_holds(index, value))
+    return table.of(rows if bounds is None else rows.where(bounds.condition(table.key[0])))
 
 
 def first_entity(table: Table, index: Index, value) -> DataFrame:
@@ -53,17 +61,16 @@ def first_entity(table: Table, index: Index, value) -> DataFrame:
 
 def search(table: Table, index: Index, kind: str, value, primary: tuple | None = None) -> DataFrame:
     """SEARCH, SEARCH_GTE, SEARCH_BOTH and SEARCH_BOTH_GTE on (secondary key, primary key); the primary row, with the key."""
-    keys = view(table, index)
-    here = F.col(index.name) == F.lit(value)
+    name = f"{index.name}_key"
+    rows = keyed(_rows(table, index), index, name, table.df.columns)
+    here = F.col(name) == F.lit(value)
     condition = {
         "SEARCH": lambda: here,
-        "SEARCH_GTE": lambda: F.col(index.name) >= F.lit(value),
+        "SEARCH_GTE": lambda: F.col(name) >= F.lit(value),
         "SEARCH_BOTH": lambda: here & table.key_is(*primary),
         "SEARCH_BOTH_GTE": lambda: here & at_least(table.key, primary),
     }[kind]()
-    one = keys.where(condition).orderBy(index.name, *table.key).limit(1)
-    one = one.withColumnRenamed(index.name, "_found")
-    return table.df.join(F.broadcast(one), list(table.key)).withColumnRenamed("_found", f"{index.name}_key")
+    return rows.where(condition).orderBy(name, *up(table.key)).limit(1)
 
 
 def duplicate_counts(table: Table, index: Index) -> DataFrame:
@@ -99,6 +106,25 @@ def entry_changes(before: Table, after: Table, index: Index) -> DataFrame:
     return gone.unionByName(new.join(old, names, "left_anti").withColumn("change", F.lit("insert")))
 
 
+def immutable_violations(before: Table, after: Table, index: Index) -> DataFrame:
+    """Primary keys of rows that a write leaves but whose secondary key it changes, where the index says that none may."""
+    if not index.immutable:
+        return before.df.select(*before.key).limit(0)
+    kept = entry_changes(before, after, index).select(*before.key).distinct()
+    both = before.df.select(*before.key).join(after.df.select(*after.key), list(before.key), "left_semi")
+    return kept.join(both, list(before.key), "left_semi")
+
+
+def primary_rows(tables: dict[str, Table], entries: DataFrame) -> DataFrame:
+    """The rows that entries of an index over several primaries lead to: each goes to the primary that it names.
+
+    entries: as associated() gives them. An entry whose primary isn't there, or lacks the row, leads to nothing.
+    """
+    key = next(iter(tables.values())).key
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.df.withColumn("source_table", F.lit(n)) for n, t in tables.items()))
+    return entries.join(rows, [*key, "source_table"])
+
+
 def associated(tables: dict[str, Table], index: Index) -> DataFrame:
     """One index over several primaries: (name, key, source of the row)."""
     return reduce(DataFrame.unionByName, (view(t, index).withColumn("source_table", F.lit(n)) for n, t in tables.items()))
@@ -125,6 +151,5 @@ def equality_join(table: Table, conditions: list[tuple[Index, object]], keys_onl
 
 
 def _holds(index: Index, value) -> Column:
-    key = F.col(index.key) if isinstance(index.key, str) else index.key
-    out = F.array_contains(key, F.lit(value)) if index.many else key == F.lit(value)
+    out = F.array_contains(index.column, F.lit(value)) if index.many else index.column == F.lit(value)
     return out if index.only is None else out & index.only

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 UNITS = {"HOURS": 3_600_000, "DAYS": 86_400_000}
 
 
+def _known(unit: str) -> int:
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit}")
+    return UNITS[unit]
+
+
 def _units(ms: Column, unit: str) -> Column:
     """ms in whole units, rounded up, in integers."""
     up = ms + (UNITS[unit] - 1)
@@ -17,7 +23,8 @@ def _units(ms: Column, unit: str) -> Column:
 
 def expiration(written_ms: Column, ttl: Column, unit: str = "DAYS") -> Column:
     """Milliseconds at which a row expires: the write time rounded up to a whole unit, plus ttl units; 0 (ttl 0) is never."""
-    ms = UNITS[unit]
+    ms = _known(unit)
+    ttl = F.when(ttl < 0, F.raise_error(F.lit("a time to live is negative")).cast("long")).otherwise(ttl)
     return F.when(ttl == 0, F.lit(0)).otherwise((_units(written_ms, unit) + ttl) * ms).cast("long")
 
 

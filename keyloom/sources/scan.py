@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ def scan_all(tables: list[DataFrame], keys: list[str], into: str = "key") -> Dat
     return reduce(DataFrame.unionByName, (t.select(F.col(k).cast("long").alias(into)) for t, k in zip(tables, keys, strict=True)))
 
 
+def preload(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables (or some columns of each) held by the executors' storage, spilling to disk, and the rows loaded of each."""
+    held = {n: (df if columns is None or n not in columns else df.select(*columns[n])).persist(StorageLevel.MEMORY_AND_DISK) for n, df in tables.items()}
+    return held, reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in held.items()))
+
+
 def count_only(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 

@@ -17,6 +17,7 @@ class Store:
 
     spark: SparkSession
     folder: str
+    read_only: bool = False
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -30,18 +31,32 @@ class Store:
 
     def create(self, name: str, df: DataFrame, exclusive: bool = True) -> None:
         """With exclusive, an error if the table is there; without, it is replaced."""
+        if self.read_only:
+            raise ExistsError("the store is open for reading alone")
         df.write.mode("errorifexists" if exclusive else "overwrite").parquet(f"{self.folder}/{name}")
 
+    def temporary(self, name: str, df: DataFrame) -> DataFrame:
+        """A table that ends with the session and is not listed: a view."""
+        df.createOrReplaceTempView(name)
+        return self.spark.table(name)
+
     def open(self, name: str) -> DataFrame:
         if name not in self.names():
             raise ExistsError(f"no table {name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def rename(self, old: str, new: str) -> None:
-        if old not in self.names() or new in self.names():
+        if self.read_only or old not in self.names() or new in self.names():
             raise ExistsError(f"{old} can't become {new}")
         self._fs().rename(self._path(old), self._path(new))
 
+    def truncate_with(self, name: str, indexes: list[str]) -> int:
+        """Leaves a table and the stored tables of its indexes empty; the number of rows that it had."""
+        n = self.truncate(name)
+        for index in indexes:
+            self.truncate(index)
+        return n
+
     def truncate(self, name: str) -> int:
         """Leaves the table empty; the number of rows that it had."""
         df = self.open(name)
@@ -50,7 +65,7 @@ class Store:
         return n
 
     def remove(self, name: str) -> None:
-        if name not in self.names():
+        if self.read_only or name not in self.names():
             raise ExistsError(f"no table {name}")
         self._fs().delete(self._path(name), True)
 

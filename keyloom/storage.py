@@ -15,8 +15,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where it is unset (local tests only)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 def run_dir(spark: SparkSession, what: str) -> str:

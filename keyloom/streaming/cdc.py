@@ -32,6 +32,50 @@ def apply(base: DataFrame, changes: DataFrame, key: str = "key", seq: str = "seq
     return kept.unionByName(net.where("op = 'put'").select(*base.columns))
 
 
+def of_tables(events: DataFrame, tables: list[str], column: str = "table") -> DataFrame:
+    """A feeder's filter: the changes of some tables, and the ends of all transactions."""
+    return events.where(F.col(column).isin(*tables) | F.col("op").isin("commit", "abort"))
+
+
+def log_rows(events: DataFrame, ops: list[str] | None = None, keys: list | None = None, txns: list | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of a change log of given kinds, keys and transactions, within a range of sequence numbers; all filters reach the scan."""
+    for column, some in (("op", ops), ("key", keys), ("txn", txns)):
+        if some is not None:
+            events = events.where(F.col(column).isin(*some))
+    if first is not None:
+        events = events.where(F.col("seq") >= first)
+    return events if last is None else events.where(F.col("seq") <= last)
+
+
+def transactions(events: DataFrame) -> DataFrame:
+    """What transaction triggers would see: of each transaction its outcome (commit, abort or open) and its puts and deletes."""
+    ends = F.max(F.when(F.col("op").isin("commit", "abort"), F.col("op")))
+    n = lambda op: F.count(F.when(F.col("op") == op, 1))
+    return events.groupBy("txn").agg(F.coalesce(ends, F.lit("open")).alias("outcome"), n("put").alias("n_put"), n("delete").alias("n_delete"))
+
+
+class LogOverwrittenError(ValueError):
+    """A subscriber asks for changes that the log no longer has."""
+
+
+def require_sequence(events: DataFrame, first: int, seq: str = "seq") -> DataFrame:
+    """from_sequence(), but an error if the log begins after `first`."""
+    begin = events.agg(F.min(seq).alias("m")).first()["m"]
+    if begin is not None and begin > first:
+        raise LogOverwrittenError(f"the log begins at {begin}")
+    return from_sequence(events, first, seq)
+
+
+def callbacks(**by_kind: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function that gives each kind's function (put, delete, commit, abort) the batch's rows of its kind."""
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        for kind, f in by_kind.items():
+            f(batch.where(F.col("op") == kind))
+
+    return on_batch
+
+
 def from_sequence(events: DataFrame, first: int, seq: str = "seq") -> DataFrame:
     """Events from a sequence number on; the filter reaches the source."""
     return events.where(F.col(seq) >= first)
@@ -45,13 +89,13 @@ def triggers(base: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame
     return new.join(old, key, "left")
 
 
-def subscribe(spark: SparkSession, path: str, schema: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Runs on_batch over what is new in a folder of event files, then stops."""
-    stream = spark.readStream.schema(schema).parquet(path)
+def subscribe(spark: SparkSession, path: str, schema: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None], files: int = 1000) -> StreamingQuery:
+    """Runs on_batch over what is new in a folder of event files, so many files a batch, then stops."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replicate(spark: SparkSession, path: str, schema: str, folder: str, key: str = "key", seq: str = "seq") -> StreamingQuery:
+def replicate(spark: SparkSession, path: str, schema: str, folder: str, files: int = 1000) -> StreamingQuery:
     """Keeps a log of committed changes and of events that wait for their commit under folder.
 
     Each batch joins its events with those that wait; a batch run again overwrites what it wrote. state(spark, folder)
@@ -66,7 +110,7 @@ def replicate(spark: SparkSession, path: str, schema: str, folder: str, key: str
         committed(waiting).write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
         waiting.join(ended, "txn", "left_anti").write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
 
-    return subscribe(spark, path, schema, f"{folder}/checkpoint", on_batch)
+    return subscribe(spark, path, schema, f"{folder}/checkpoint", on_batch, files)
 
 
 def state(spark: SparkSession, folder: str, key: str = "key", seq: str = "seq") -> DataFrame:

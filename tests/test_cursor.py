@@ -60,6 +60,33 @@ def test_moves(dups, kind):
         assert got[p] == (want[0] if want else None), p
 
 
+@pytest.mark.parametrize("kind", ["NEXT", "PREV", "NEXT_DUP", "PREV_DUP", "NEXT_NO_DUP", "PREV_NO_DUP"])
+@pytest.mark.parametrize("keys", [500, 7, 2])
+def test_moves_over_ranges(spark, kind, keys, monkeypatch):
+    """Many rows, of which one key has most: the ranges cut it."""
+    monkeypatch.setattr("keyloom.operators.ordered.SAMPLED", 5)
+    r = random.Random(keys)
+    pairs = sorted({(0 if r.random() < 0.4 else r.randrange(keys), r.randrange(3000)) for _ in range(1500)})
+    mixed = pairs[:]
+    r.shuffle(mixed)
+    t = Table(spark.createDataFrame(mixed, "k int, d int").repartition(3), ("k",), ("d",))
+    got = {(x.k, x.d): tuple(x.moved) if x.moved else None for x in cursor.move(t, kind).collect()}
+    step = 1 if kind.startswith("NEXT") else -1
+    walk = pairs[::step]
+    want, target = {}, None
+    for i, p in enumerate(walk[::-1]):  # from the end of the movement
+        before = walk[::-1][i - 1] if i else None
+        if kind.endswith("NO_DUP"):
+            if before is not None and before[0] != p[0]:
+                target = before
+            want[p] = target
+        else:
+            want[p] = before if not kind.endswith("DUP") or (before and before[0] == p[0]) else None
+    if kind.endswith("NO_DUP"):  # the row reached is the one of its key that the movement meets first
+        want = {p: next((q for q in walk if (q[0] - p[0]) * step > 0), None) for p in pairs}
+    assert got == want
+
+
 def test_skip(spark):
     t = Table(spark.createDataFrame([(i,) for i in range(10)], "k int"), ("k",))
     for count, start, forward in itertools.product((0, 1, 4, 20), (None, 3, 9, 50), (True, False)):
@@ -101,7 +128,7 @@ def test_constraint_stops(spark):
 def test_numbers_over_partitions(spark):
     values = random.Random(1).sample(range(10_000), 500)
     df = spark.createDataFrame([(v,) for v in values], "k int").repartition(7)
-    got = {r.k: (r.rn, r.s) for r in cursor.running(cursor.numbered(df, [F.col("k").asc()]), [F.col("k").asc()], F.col("k"), "s").collect()}
+    got = {r.k: (r.rn, r.s) for r in cursor.running(cursor.numbered(df, ["k"]), ["k"], F.col("k"), "s").collect()}
     total = 0
     for n, v in enumerate(sorted(values), 1):
         total += v
