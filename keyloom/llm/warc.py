@@ -9,18 +9,22 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import lookup, map_arrow, run_dir
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 16
+#: Bytes of a record's header lines at most.
+HEAD = 1 << 20
 LEVEL = 4
 
 
@@ -35,12 +39,16 @@ def digest_column(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_bytes(kind: str, page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | str | None) -> str:
+    return "urn:page" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def record_bytes(kind: str, page_id: int | str | None, url: str, payload: bytes, digest: str, refers_to: int | str | None) -> bytes:
     """One record as a gzip member. A revisit carries the length and the digest of the payload, not the payload."""
     block = b"" if kind == "revisit" else payload
     lines = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{_urn(page_id)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "Content-Type: text/html; charset=utf-8",
@@ -49,7 +57,7 @@ def record_bytes(kind: str, page_id: int, url: str, payload: bytes, digest: str,
         f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: <{_urn(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {len(block)}")
     head = VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n"
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -62,38 +70,71 @@ class Record:
     block: bytes = b""
 
 
-def _members(stream: BinaryIO) -> Iterator[bytes]:
-    """The contents of one gzip member after another; memory holds one member and one read."""
-    rest = b""
-    while True:
-        if not rest and not (rest := stream.read(READ)):
-            return
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof:
-            if not rest and not (rest := stream.read(READ)):
+class _Member:
+    """One gzip member of a stream, inflated as it is read; each piece of it has READ bytes at most."""
+
+    def __init__(self, stream: BinaryIO, rest: bytes) -> None:
+        self.stream, self.rest = stream, rest  # compressed bytes read and not used yet
+        self.unpack = zlib.decompressobj(31)
+        self.ready = b""
+
+    def piece(self) -> bytes:
+        """The next piece; empty at the member's end."""
+        while not self.ready and not self.unpack.eof:
+            rest = self.rest or self.stream.read(READ)
+            if not rest:
                 raise ValueError("the archive ends within a record")
-            parts.append(unpack.decompress(rest))
-            rest = unpack.unused_data if unpack.eof else b""
-        yield b"".join(parts)
+            self.ready = self.unpack.decompress(rest, READ)
+            self.rest = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+        out, self.ready = self.ready, b""
+        return out
+
+    def give_back(self, data: bytes) -> None:
+        self.ready = data
 
 
-def read_records(stream: BinaryIO) -> Iterator[Record]:
-    """The records of an archive in order; lengths, ends and digests are verified."""
-    for data in _members(stream):
-        head, gap, rest = data.partition(b"\r\n\r\n")
-        first, *lines = head.decode().split("\r\n")
-        if first.encode() != VERSION or not gap:
+def _headers(member: _Member) -> dict[str, str]:
+    head = b""
+    while b"\r\n\r\n" not in head:
+        if not (more := member.piece()) or len(head) > HEAD:
             raise ValueError("not a record of this version")
-        headers = dict(x.split(": ", 1) for x in lines)
-        size = int(headers["Content-Length"])
-        block, end = rest[:size], rest[size:]
-        if len(block) != size or end != b"\r\n\r\n":
+        head += more
+    head, _, rest = head.partition(b"\r\n\r\n")
+    member.give_back(rest)
+    first, *lines = head.decode().split("\r\n")
+    if first.encode() != VERSION:
+        raise ValueError("not a record of this version")
+    return dict(x.split(": ", 1) for x in lines)
+
+
+def read_records(stream: BinaryIO, blocks: bool = True) -> Iterator[Record]:
+    """The records of an archive in order; lengths, ends and digests are verified.
+
+    A member is inflated piece by piece, and its content length says where its block ends, so that a member that
+    would inflate to more is an error before it has. Without blocks no block is kept, and memory holds a piece.
+    """
+    rest = b""
+    while rest or (rest := stream.read(READ)):
+        member = _Member(stream, rest)
+        headers = _headers(member)
+        left, digest, parts = int(headers["Content-Length"]), hashlib.sha1(), []
+        while left and (data := member.piece()):
+            member.give_back(data[left:])
+            digest.update(data[:left])
+            parts += [data[:left]] * blocks
+            left -= min(left, len(data))
+        end = b""
+        while len(end) <= 4 and (data := member.piece()):
+            end += data
+        if left or end != b"\r\n\r\n":
             raise ValueError("a record's length is wrong")
-        if f"sha1:{digest_of(block)}" != headers["WARC-Block-Digest"]:
+        found = f"sha1:{base64.b32encode(digest.digest()).decode()}"
+        if found != headers["WARC-Block-Digest"]:
             raise ValueError("a record's block does not fit its digest")
-        if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != headers["WARC-Block-Digest"]:
+        if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != found:
             raise ValueError("a response's payload does not fit its digest")
-        yield Record(headers, block)
+        yield Record(headers, b"".join(parts))
+        rest = member.rest
 
 
 def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -150,15 +191,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def read_archives(spark: SparkSession, archives: DataFrame, folder: str, id_type: T.DataType | None = None, payloads: bool = False) -> DataFrame:
     """A row per record of the archives at the paths: page_id, payload_bytes, payload_digest, record_type, refers_to, and on request payload."""
+    id_type = id_type or T.LongType()
+    textual = isinstance(id_type, T.StringType)
+    id_kind = to_arrow_type(id_type)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
 
     def flush(got: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
+        kinds = [id_kind, pa.int64(), pa.string(), pa.string(), id_kind, *[pa.binary()] * payloads]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], names=names)
 
-    def number(text: str) -> int | None:
-        inner = text.removeprefix("<urn:page:").removesuffix(">")
-        return None if inner == "None" else int(inner)
+    def id_of(text: str) -> int | str | None:
+        inner = text.removeprefix("<urn:page").removesuffix(">")
+        if not inner:
+            return None
+        return unquote(inner[1:]) if textual else int(inner[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
@@ -167,10 +213,10 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, id_type
                 got: list[tuple] = []
                 held = 0
                 with store.open_input_stream(path, compression=None) as stream:
-                    for r in read_records(stream):
+                    for r in read_records(stream, payloads):
                         h = r.headers
-                        refers_to = number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
-                        got.append((number(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], refers_to, *[r.block] * payloads))
+                        refers_to = id_of(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
+                        got.append((id_of(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], refers_to, *[r.block] * payloads))
                         held += len(r.block) * payloads
                         if len(got) == 1000 or held > 1 << 24:
                             yield flush(got)
@@ -178,18 +224,22 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, id_type
                 if got:
                     yield flush(got)
 
-    fields = [T.StructField(n, T.StringType() if n in ("payload_digest", "record_type") else T.BinaryType() if n == "payload" else T.LongType()) for n in names]
+    fields = [T.StructField(n, T.StringType() if n in ("payload_digest", "record_type") else T.BinaryType() if n == "payload" else T.LongType() if n == "payload_bytes" else id_type) for n in names]
     return map_arrow(archives.select("path"), run, T.StructType(fields))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and returns the records read back.
+    """Writes pages to archives in the shared folder and returns the records read back, one per page.
 
     The list of archives, a row per partition, is what the writing job leaves; each archive is read by one task.
+    Ids are integers or strings. Null html is an empty payload, and empty payloads of several pages are equal ones; rows
+    without id are responses and nothing refers to them; rows repeated with the largest id are all responses. Payloads of
+    any length are written whole. An empty table gives an empty result; other columns of pages, whatever their names, play no part.
     """
+    pages = pages.select("page_id", "url", "html")
     spark = pages.sparkSession
     folder = run_dir(spark, "warc")
     write_archives(pages, folder, least=least).write.parquet(f"{folder}-list")
     listed = spark.read.parquet(f"{folder}-list")
     n = max(1, min(listed.count(), 10_000))
-    return read_archives(spark, listed.repartition(n, "path"), folder)
+    return read_archives(spark, listed.repartition(n, "path"), folder, pages.schema["page_id"].dataType)
