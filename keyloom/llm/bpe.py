@@ -13,15 +13,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, text_buffers
+from .common import chunks, free, map_arrow, text_buffers
 
-DEFAULT_PATH = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary that encode_table takes if no path is given, by its name in the package of public tokenizers.
+DEFAULT_NAME = "word_bpe_49k.json"
 
 #: Words whose tokens a worker remembers.
 REMEMBERED = 300_000
 _NONE = np.int64(1 << 40)
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(DEFAULT_NAME)
+
+
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -172,14 +179,18 @@ FIELDS = {
 }
 
 
-def encode_table(docs: DataFrame, path: str = DEFAULT_PATH, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_table(docs: DataFrame, path: str | None = None, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs, and of the whole text encoded and decoded again those of FIELDS in outputs.
 
     Null text counts as empty: no tokens, and an empty decoded text. The strings of special tokens in a text become
-    their ids, as in the library. A row's result depends on its text alone; other columns pass through. The file at
-    path is read on the driver and sent to the executors.
+    their ids, as in the library. A row's result depends on its text alone: repeated rows have equal results, and texts of
+    any length are encoded whole, some megabytes of texts at a time. An empty table gives an empty result; columns of docs
+    that are not in `keep` play no part, and one in `keep` must not have a name of outputs. The file at path (default_path()
+    if not given) is read on the driver and sent to the executors; its size doesn't depend on docs.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    if clash := set(keep) & set(outputs):
+        raise ValueError(f"{sorted(clash)} are both kept and made")
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path or default_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
@@ -204,4 +215,4 @@ def encode_table(docs: DataFrame, path: str = DEFAULT_PATH, text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*(batch.column(1 + n).slice(i, j - i) for n in range(len(keep))), *made], names=[*keep, *outputs])
 
     schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(k, FIELDS[k]) for k in outputs)])
-    return map_arrow(docs.select(docs[text_col].alias("_text"), *(docs[k] for k in keep)), run, schema)
+    return map_arrow(docs.select(docs[text_col].alias(free("_text", docs)), *(docs[k] for k in keep)), run, schema)
