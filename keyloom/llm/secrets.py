@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, text_buffers
+from .common import chunks, free, map_arrow, text_buffers
 
 #: The base kinds, in the order in which spans of one start are listed, and the kinds with checksums.
 BASE = ("assign", "access", "hex")
@@ -32,6 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ISSUED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![0-9A-Za-z])[3-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])")
+CARD_RUN = re.compile(r"[0-9 -]+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
@@ -45,6 +46,8 @@ _GAP_BYTE = np.zeros(256, bool)
 _GAP_BYTE[[32, 45]] = True
 _UPPER_BYTE = np.zeros(256, bool)
 _UPPER_BYTE[[*range(48, 58), *range(65, 91)]] = True
+#: For hex, card and iban: the bytes of a run, and how many there are at least.
+RUNS = ((_HEX_BYTE, LEAST_HEX), (_DIGIT_BYTE | _GAP_BYTE, 16), (_UPPER_BYTE, 15))
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -82,8 +85,8 @@ def mod97_holds(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def long_runs(data: np.ndarray, at: np.ndarray, classes: np.ndarray, least: int) -> np.ndarray:
-    """For each text, whether it has a run of at least so many bytes of a class."""
+def long_runs(data: np.ndarray, at: np.ndarray, classes: np.ndarray, least: int) -> list[list[int]]:
+    """For each text, where (in bytes) its runs of at least so many bytes of a class begin: the places that stand in for keywords."""
     lo, hi = int(at[0]), int(at[-1])
     inside = classes[data[lo:hi]]
     edge = np.zeros(hi - lo + 1, bool)
@@ -92,8 +95,18 @@ def long_runs(data: np.ndarray, at: np.ndarray, classes: np.ndarray, least: int)
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.zeros(len(at) - 1, bool)
-    out[np.searchsorted(at, start[end - start >= least] + lo, "right") - 1] = True
+    found = start[end - start >= least] + lo
+    cut = np.searchsorted(found, at)
+    return [(found[a:b] - t).tolist() if b > a else [] for a, b, t in zip(cut[:-1].tolist(), cut[1:].tolist(), at[:-1].tolist())]
+
+
+def code_points(data: bytes, places: list[int]) -> list[int]:
+    """Byte places in UTF-8 as places in code points."""
+    out, done, n = [], 0, 0
+    for p in places:
+        n += len(data[done:p].decode())
+        done = p
+        out.append(n)
     return out
 
 
@@ -101,8 +114,15 @@ class Scanner:
     def __init__(self) -> None:
         self.words = automaton()
 
-    def spans(self, text: str, maybe_hex: bool = True, maybe_card: bool = True, maybe_iban: bool = True) -> list[tuple[str, int, int]]:
-        """(kind, start, end) in code points, by start, then kind. Base kinds are leftmost and don't overlap within a kind."""
+    def spans(self, text: str, hexes: list[int] | None = None, cards: list[int] | None = None, ibans: list[int] | None = None) -> list[tuple[str, int, int]]:
+        """(kind, start, end) in code points, by start, then kind. Base kinds are leftmost and don't overlap within a kind.
+
+        hexes, cards, ibans: where runs of their bytes that are long enough begin, in bytes; they are looked for if not given.
+        """
+        if hexes is None:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.array([0, len(raw)])
+            (hexes,), (cards,), (ibans,) = (long_runs(raw, ends, c, n) for c, n in RUNS)
         out: list[tuple[str, int, int]] = []
         past = dict.fromkeys(KINDS, 0)
         low = text.encode().lower().decode()  # A-Z alone, so places stay the same
@@ -124,12 +144,13 @@ class Scanner:
                 elif (m := ISSUED.match(text, start)) and checksum_holds(m[1], m[2]):
                     past[kind] = m.end()
                     out.append((kind, start, m.end()))
-        if maybe_hex:
-            out += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-        if maybe_card:
-            out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if luhn_holds(re.sub("[ -]", "", m[0]))]
-        if maybe_iban:
-            out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97_holds(m[0])]
+        if (hexes or cards or ibans) and not text.isascii():
+            hexes, cards, ibans = (code_points(text.encode(), x) for x in (hexes, cards, ibans))
+        out += [("hex", s, HEX.match(text, s).end()) for s in hexes]
+        for s in cards:  # a run of digits and gaps may hold several numbers, and begin with a gap
+            end = CARD_RUN.match(text, s).end()
+            out += [("card", m.start(), m.end()) for m in CARD.finditer(text, s, min(len(text), end + 1)) if luhn_holds(re.sub("[ -]", "", m[0]))]
+        out += [("iban", s, m.end()) for s in ibans if (m := IBAN.match(text, s)) and mod97_holds(m[0])]
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -141,9 +162,13 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     """The columns `keep` of docs, n_assign, n_access, n_hex, base_sha256 and spans (`kind:start:end`, comma-joined).
 
     Keywords, found by one automaton pass over the whole text, open the assign, access, github and npm kinds; hex
-    runs, card and account numbers have no keyword, and are looked for in texts with a long enough run of their
-    bytes. Issued tokens count if their CRC-32 holds, card numbers if the Luhn sum does, account numbers if the
-    remainder by 97 is 1. Null counts as empty and has no spans.
+    runs, card and account numbers have no keyword, and patterns are tried where a long enough run of their bytes
+    begins. Issued tokens count if their CRC-32 holds, card numbers if the Luhn sum does, account numbers if the
+    remainder by 97 is 1.
+
+    Null and empty texts have no spans; texts of any length are scanned whole; of keyword hits that lie in a match of
+    their kind none opens another, and spans of different kinds that start together go by kind. Repeated rows have equal
+    results; an empty table gives an empty one; columns of docs that are not in `keep` play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +177,11 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
             data, at = text_buffers(batch.column(0))
             for i, j in chunks(at):
                 part = at[i : j + 1]
-                hexes = long_runs(data, part, _HEX_BYTE, LEAST_HEX)
-                cards = long_runs(data, part, _DIGIT_BYTE | _GAP_BYTE, 16)
-                ibans = long_runs(data, part, _UPPER_BYTE, 15)
+                hexes, cards, ibans = (long_runs(data, part, c, n) for c, n in RUNS)
                 counts: list[list[int]] = [[], [], []]
                 digests, spans = [], []
                 for k, text in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
-                    found = scanner.spans(text or "", bool(hexes[k]), bool(cards[k]), bool(ibans[k]))
+                    found = scanner.spans(text or "", hexes[k], cards[k], ibans[k])
                     base = [s for s in found if s[0] in BASE]
                     for n, kind in zip(counts, BASE):
                         n.append(sum(s[0] == kind for s in base))
@@ -170,4 +193,4 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
     schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(n, k) for n, k in zip(names, kinds))])
-    return map_arrow(docs.select(docs[text_col].alias("_text"), *(docs[k] for k in keep)), run, schema)
+    return map_arrow(docs.select(docs[text_col].alias(free("_text", docs)), *(docs[k] for k in keep)), run, schema)
