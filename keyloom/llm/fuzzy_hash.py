@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks, map_arrow, mix64, text_buffers, written
+from .common import chunks, free, map_arrow, mix64, text_buffers, written
 from .shingles import powers
 
 WINDOW, CHUNKS, LEAST_BLOCK = 7, 48, 3
@@ -128,7 +130,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerpri
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.string())], names=[*keep, into])
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(into, T.StringType())])
-    return map_arrow(docs.select(docs[text_col].alias("_text"), *(docs[k] for k in keep)), run, schema)
+    return map_arrow(docs.select(docs[text_col].alias(free("_text", docs)), *(docs[k] for k in keep)), run, schema)
 
 
 def in_runs(docs: DataFrame, id_col: str, rows_per_run: int) -> tuple[DataFrame, list]:
@@ -158,60 +160,96 @@ def _run_of(value, cuts: list[int]):
     return F.when(value.isNull(), F.lit(len(rising))).otherwise(F.lit(len(rising)) - under).cast("int")
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_run: int = 400) -> DataFrame:
-    """id, text and next_text: the text of the next row by descending id, and for the last row that of the first.
+#: Rows of a range at most, on average; there are as many ranges as shuffle partitions, or more.
+RANGE_ROWS = 100_000
 
-    Each text travels once, to its run; the first row of each run (one per run) travels also to the run before it.
+
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text in ranges of descending ids, sorted within: each text travels once.
+
+    Ties go by a hash of the text, then the text, so that many rows of one id or of none are cut into ranges as well;
+    rows equal in both are told apart by where they lie, which changes no result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids = docs.select(F.col(id_col).alias("id"))
-    runs, cuts = in_runs(ids, "id", rows_per_run)
-    tops = runs.groupBy("_run").agg(F.max("id").alias("top"))
-    before = Window.orderBy("_run")  # one row per run
-    last = F.max("_run").over(Window.partitionBy(F.lit(0)))
-    tops = written(tops.select("_run", "top", F.coalesce(F.lag("_run").over(before), last).alias("_to")), "tops")
-    rows = rows.withColumn("_run", _run_of(F.col("id"), cuts))
-    rows = rows.join(F.broadcast(tops.withColumnRenamed("_run", "_r")), (F.col("_run") == F.col("_r")) & F.col("id").eqNullSafe(F.col("top")), "left")
-    own = F.struct(F.col("_run").alias("run"), F.lit(0).alias("extra"))
-    more = F.struct(F.col("_to").alias("run"), F.lit(1).alias("extra"))
-    sent = rows.withColumn("_go", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))))
-    sent = sent.select("id", "text", F.col("_go.run").alias("run"), F.col("_go.extra").alias("extra")).repartition("run")
-    order = Window.partitionBy("run").orderBy("extra", F.col("id").desc_nulls_last(), "text")
-    return sent.withColumn("next_text", F.lead("text").over(order)).where("extra = 0").select("id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = F.col("id").desc_nulls_last(), F.col("tie").asc()
+    return rows.repartitionByRange(parts, *order, F.col("place").asc()).sortWithinPartitions(*order, "text").select("id", "text")
+
+
+#: What compare() makes of each row.
+FACTS = {"n_chars": T.LongType(), "edited_sha256": T.StringType(), "fingerprint": T.StringType(), "edited_fingerprint": T.StringType(), "near_edited": T.DoubleType(), "near_next": T.DoubleType()}
+
+
+def printed(text: str) -> str:
+    return fingerprint(np.frombuffer(text.encode(), np.uint8))
+
+
+def compare(texts: list[str], prints: list[str]) -> list[list]:
+    """The columns FACTS of all texts but the last, each edited by the one after it; prints: the texts' fingerprints."""
+    n_chars, digests, edited = [], [], []
+    for text, after in zip(texts, texts[1:]):
+        cut = len(text) // 3
+        changed = text[: len(text) - cut] + after[:cut]
+        n_chars.append(len(text))
+        digests.append(hashlib.sha256(changed.encode()).hexdigest())
+        edited.append(printed(changed))
+    near = likenesses([*zip(prints, edited), *zip(prints, prints[1:])])
+    return [n_chars, digests, prints[: len(edited)], edited, near[: len(edited)], near[len(edited) :]]
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+    """For each row: its id (of any type that sorts), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has the last third of the code points replaced by as many of the start of the next text by
     descending id (all of it, if that is shorter); the last row's next is the first, and a single row's is itself.
-    Null counts as empty; rows repeated with one id follow one another by text, and rows without id come last.
+    Null counts as empty; rows repeated with one id follow one another by a hash of the text, and rows without id come
+    last. Texts of any length are read whole. An empty table gives an empty result; other columns, whatever their
+    names, play no part.
+
+    A task reads its range in order and holds some megabytes of it. The first and the last row of each range are
+    written beside the results, and meet in a second, small job.
     """
+    kind = docs.schema[id_col].dataType
+    made = [T.StructField(n, k) for n, k in FACTS.items()]
+    edge = [T.StructField("part", T.IntegerType()), T.StructField("edge", T.StringType()), T.StructField("text", T.StringType())]
+    schema = T.StructType([T.StructField("id", kind), *made, *edge])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def rows(ids: pa.Array, facts: list[list] | None, part: int | None = None, name: str | None = None, text: str | None = None) -> pa.RecordBatch:
+        facts = facts or [[None] for _ in FACTS]
+        columns = [ids, *facts, *([x] * len(ids) for x in (part, name, text))]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        ids, texts, prints = pa.array([], types[0]), [], []  # the row that waits for the one after it
         for batch in batches:
             _, at = text_buffers(batch.column(1))
             for i, j in chunks(at):
-                ids = batch.column(0).slice(i, j - i)
-                texts, following = (batch.column(c).slice(i, j - i).to_pylist() for c in (1, 2))
-                n_chars, digests, own, edited, following_print = [], [], [], [], []
-                for text, after in zip(texts, following):
-                    cut = len(text) // 3
-                    changed = (text[: len(text) - cut] + after[:cut]).encode()
-                    n_chars.append(len(text))
-                    digests.append(hashlib.sha256(changed).hexdigest())
-                    own.append(fingerprint(np.frombuffer(text.encode(), np.uint8)))
-                    edited.append(fingerprint(np.frombuffer(changed, np.uint8)))
-                for k, after in enumerate(following):
-                    known = k + 1 < len(texts) and texts[k + 1] == after
-                    following_print.append(own[k + 1] if known else fingerprint(np.frombuffer(after.encode(), np.uint8)))
-                near = likenesses([*zip(own, edited), *zip(own, following_print)])
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n_chars, pa.int64()), pa.array(digests), pa.array(own), pa.array(edited), pa.array(near[: len(own)]), pa.array(near[len(own) :])],
-                    names=[f.name for f in schema.fields],
-                )
-
-    kinds = (T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())
-    names = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, k) for n, k in zip(names, kinds))])
-    return map_arrow(neighbours(docs, id_col, text_col), run, schema)
+                some = batch.column(1).slice(i, j - i).to_pylist()
+                if not texts and j > i:
+                    yield rows(batch.column(0).slice(i, 1), None, part, "first", some[0])
+                texts, prints = texts + some, prints + [printed(t) for t in some]
+                ids = pa.concat_arrays([ids, batch.column(0).slice(i, j - i)])
+                if len(texts) > 1:
+                    yield rows(ids.slice(0, len(ids) - 1), compare(texts, prints))
+                    ids, texts, prints = ids.slice(len(ids) - 1), texts[-1:], prints[-1:]
+        if texts:
+            yield rows(ids, None, part, "last", texts[0])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                texts = [batch.column(1)[k].as_py(), batch.column(2)[k].as_py()]
+                yield rows(batch.column(0).slice(k, 1), compare(texts, [printed(t) for t in texts]))
+
+    found = written(map_arrow(in_order(docs, id_col, text_col), run, schema), "compared")
+    lasts = found.where("edge = 'last'").select("id", "part", F.col("text").alias("own"))
+    firsts = found.where("edge = 'first'").select(F.col("part").alias("after"), "text")
+    parts = firsts.select(F.col("after").alias("p"))
+    top = F.first("p").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select("p", F.coalesce(F.lead("p").over(Window.orderBy("p")), top).alias("after"))  # two numbers per range
+    pairs = lasts.join(parts, F.col("part") == F.col("p")).join(firsts, "after").select("id", "own", "text")
+    out = found.where("edge is null").unionByName(map_arrow(pairs, join, schema))
+    return out.select(F.col("id").alias(id_col), *FACTS)
