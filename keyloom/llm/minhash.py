@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, lookup, map_arrow, mix64, text_buffers, written
+from .common import chunks, free, lookup, map_arrow, mix64, text_buffers, written
 from .components import components
 from .shingles import shingle_sets
 
 PERMUTATIONS, BAND = 100, 5
+#: Rows of a bucket for each place at which its pairs are compared, and places at most.
+BLOCK, MOST_PLACES = 1000, 64
 
 
 def signatures(values: np.ndarray, begins: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -85,10 +87,14 @@ def _id_type(df: DataFrame, col: str) -> T.DataType:
 
 
 def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their set sizes na, nb and the size of the intersection."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    """pairs (a, b) with their set sizes na, nb and the size of the intersection. The pairs of one b, of which a center may have
+    very many, are dealt to many places, each with a copy of its set."""
+    pairs = written(pairs, "pairs")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    centers = counts.join(sets, F.col("b") == F.col("node")).select("b", "n", F.col("shingles").alias("sb"))
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = lookup(with_a, centers, ["b"], "n", pairs.count(), F.col("a"), "_b", size=8 * F.size("sb"))
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("_b.sb").alias("nb"), F.size(F.array_intersect("sa", "_b.sb")).alias("shared"))
 
 
 def _linked(percent: int) -> Column:
@@ -116,7 +122,15 @@ def _rest(members: DataFrame, labels: DataFrame, stars: DataFrame, sets: DataFra
     bound = F.least("x.inside", "y.inside") + F.greatest(F.lit(0), F.least("x.outside", "y.outside"))
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ((100 + percent) * bound >= percent * (F.col("x.n") + F.col("y.n")))
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    return rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & fits & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # a large bucket's rows are dealt to places, each of which has all its rows on the other side
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
+    rows = lookup(rows, sizes, ["key"], "m", total, F.col("node"), "_m")
+    places = F.least(F.lit(MOST_PLACES), F.ceil(F.col("_m.m") / BLOCK)).cast("long")
+    rows = written(rows.withColumn("places", places).drop("_m"), "placed")
+    x = rows.withColumn("place", F.pmod(F.xxhash64("node"), F.col("places")))
+    y = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.place"))
+    return x.alias("x").join(y.alias("y"), same & fits & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -129,7 +143,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components are, but for those that a bound excludes. Each comparison is of full sets.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows without id link
-    with nothing, have component_id null and are kept. Rows repeated with one id share one node and one decision.
+    with nothing, have component_id null and are kept. Rows repeated with one id share one node and one decision. Of
+    texts of any length all shingles count; an empty table gives an empty result; other columns of docs, whatever their
+    names, play no part.
     """
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -168,6 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """docs without the rows that are not the least of their group; columns as they are."""
-    gone = written(near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs without the rows that are not the least of their group; all columns as they are, whatever their names.
+
+    Rows of null and empty texts and rows without id stay, and all rows repeated with an id that is kept; an empty
+    table stays empty.
+    """
+    name = free("_gone", docs)
+    gone = written(near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
