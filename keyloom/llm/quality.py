@@ -18,8 +18,8 @@ from .shingles import powers
 
 #: Labellers, in the order of their votes: 1 good, -1 bad, 0 neither.
 LABELLERS = ("symbols", "letters", "shouting", "repeats", "variety", "sentences", "lengths", "lines", "glyphs")
-#: Rows of the scorer's training sample at most, and code points of a text in it at most.
-TRAIN_ROWS, TRAIN_CHARS = 8000, 20_000
+#: Rows of the scorer's training sample at most, and code points of all its texts together.
+TRAIN_ROWS, TRAIN_POINTS = 8000, 20_000_000
 HASHED = 1 << 14
 EM_ROUNDS, EPOCHS, RATE = 40, 200, 0.05
 
@@ -232,26 +232,39 @@ def _rows_of(patterns: list[str]) -> np.ndarray:
     return np.array([["-0+".index(c) - 1 for c in p] for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
 
 
+def _sample(docs: DataFrame, cast: DataFrame, id_col: str, text_col: str) -> list[str]:
+    place = F.xxhash64(F.col("id").cast("string"))
+    ids = cast.select("id").where("id is not null").distinct().orderBy(place, "id").limit(TRAIN_ROWS)
+    found = docs.select(F.col(f"`{id_col}`").alias("own"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    found = found.join(F.broadcast(ids), F.col("own") == F.col("id")).groupBy("id").agg(F.min("text").alias("text"))
+    found = written(found.withColumn("place", place), "sample")
+    sizes = found.select("place", "id", F.length("text").alias("n")).orderBy("place", "id").collect()  # TRAIN_ROWS at most
+    some = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), TRAIN_POINTS, "right"))
+    if some < len(sizes):
+        found = found.where(F.struct("place", "id") < F.struct(F.lit(sizes[some]["place"]).alias("place"), F.lit(sizes[some]["id"]).alias("id")))
+    return found.orderBy("place", "id").select("text").toArrow()["text"].to_pylist()
+
+
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: its id, weak_label (posterior of good from the votes), score (of the scorer) and kept (score >= 0.5).
 
     The votes are counted over all rows, by pattern (3^9 at most), and expectation-maximisation runs on the counts.
-    The scorer learns the posteriors of at most TRAIN_ROWS rows, by a hash of the id, and scores every whole text.
-    Null and empty texts have bad votes alone. Rows repeated with one id each count and each give a row; an empty
-    table gives an empty result.
+    The scorer learns the posteriors of at most TRAIN_ROWS rows, by a hash of the id (of equal ids the least text), and
+    of them as many as have TRAIN_POINTS code points together; it scores every whole text.
+
+    Null and empty texts have bad votes alone; texts of any length count whole. Rows repeated with one id each count and
+    each give a row; ties in the order of the sample go by id; an empty table gives an empty result. Other columns of
+    docs, whatever their names, play no part.
     """
     spark = docs.sparkSession
     cast = written(vote_table(docs, id_col, text_col), "votes")
     counts = cast.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # 3^9 rows at most
     patterns = _rows_of([r["votes"] for r in counts])
     table, share = expectation_maximisation(patterns, np.array([r["n"] for r in counts]))
-    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    ids = cast.select("id").where("id is not null").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(TRAIN_ROWS)
-    got = sample.join(F.broadcast(ids.withColumnRenamed("id", "_id")), F.col("id") == F.col("_id")).select("id", "text").toArrow()
-    got = got.sort_by([("id", "ascending"), ("text", "ascending")])
+    texts = _sample(docs, cast, id_col, text_col)
     rows, marks = [], [np.zeros((0, len(LABELLERS)), np.int64)]
-    for part in range(0, got.num_rows, 300):
-        f = facts_of(got["text"].slice(part, 300).to_pylist())
+    for part in range(0, len(texts), 300):
+        f = facts_of(texts[part : part + 300])
         rows += features(f)
         marks.append(votes(f))
     target = posterior(np.concatenate(marks), table, share)
