@@ -15,42 +15,92 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, by a model of the labelled rows that aren't held out.
+
+    Null, empty and blank texts get the model's prior; long ones are scored whole; repeated rows score alike, ties don't
+    arise; no documents give no rows, and no labels the score 0. Columns besides doc_id, text and the labels' doc_id and toxic play no part.
+    """
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles and its group of near copies.
+
+    Null and empty texts have no shingles and are groups of their own; long texts count whole; links at exactly 75 % hold;
+    repeated ids share a decision; no documents give no rows. Columns besides doc_id and text play no part.
+    """
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, written to an archive and read back.
+
+    Null html is an empty payload, equal to other empty ones; long pages are written whole; of equal payloads the largest
+    page_id is the response, and so are all rows repeated with it; no pages give no rows. Columns besides page_id, url and html play no part.
+    """
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op4_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and how alike they and the next document's are.
+
+    Null texts count as empty; long ones are read whole; equal ids follow one another by a hash of the text; a single
+    document is its own next one; no documents give no rows. Columns besides doc_id and text play no part.
+    """
     return fuzzy_hash.compare_edited(_table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded.
+
+    Null and empty texts have no tokens; long ones are encoded whole; repeated rows have equal results; of merges that tie,
+    the leftmost comes first; no documents give no rows. Columns besides doc_id and text play no part.
+    """
     return bpe.encode_table(_table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main text.
+
+    Null and empty html give an empty text; long and deep pages are read whole; repeated rows have equal texts; ties for a
+    host's reference page go by page_id; no pages give no rows. Columns besides page_id, url and html play no part.
+    """
     return html_extract.extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's weak label, score and decision.
+
+    Null and empty texts have bad votes alone; long ones count whole; repeated rows score alike; a score of exactly 0.5 is
+    kept; no documents give no rows. Columns besides doc_id and text play no part.
+    """
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of equal texts; the largest doc_id stays.
+
+    Null texts equal empty ones; long ones are compared whole; rows repeated with the doc_id that stays are all kept; no
+    documents give no rows. Columns besides doc_id and text play no part.
+    """
     return exact_dedup.exact_plan(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words and how many of them the mix takes.
+
+    Null and empty texts have size 0 and are never taken; long ones count whole; a null source comes last; repeated ids are
+    taken alike; ties of finish time go by source, place and doc_id; no documents give no rows. Columns besides doc_id, text and source play no part.
+    """
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's secrets.
+
+    Null and empty texts have none; long ones are scanned whole; spans that start together go by kind; repeated rows have
+    equal results; no documents give no rows. Columns besides doc_id and text play no part.
+    """
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
@@ -68,6 +118,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE worded AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        sets AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded),
+        held AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        shared AS (SELECT doc_id, n, dense_rank() OVER (ORDER BY shingle) AS k FROM held QUALIFY count(*) OVER (PARTITION BY shingle) > 1),
+        near AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.k = b.k AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+    """,
+    "op3_warc": """
+        WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        named AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first FROM hashed)
+        SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda j:
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 5 * (j // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM named
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
