@@ -108,7 +108,7 @@ def test_components_of_chains(spark):
 def test_encoding_is_the_library_s():
     from tokenizers import Tokenizer
 
-    lib, own = Tokenizer.from_file(bpe.DEFAULT_PATH), bpe.Vocabulary.load(bpe.DEFAULT_PATH)
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.Vocabulary.load(bpe.default_path())
     r = random.Random(4)
     pool = [chr(c) for c in [*range(0x250), 0x3A3, 0x3C2, 0x130, 0x1E9E, 0x2028, 0x3000, 0x85, 0x301, 0x1F600, 0x4E2D, 0xAC00, 0x1161, 0x200B, 0xFB01, 0x661, 0x212A]]
     texts = ["".join(r.choices(pool, k=r.randrange(60))) for _ in range(400)]
@@ -123,7 +123,7 @@ def test_encoding_is_the_library_s():
 
 
 def test_one_merge_a_round_gives_the_same():
-    own = bpe.Vocabulary.load(bpe.DEFAULT_PATH)
+    own = bpe.Vocabulary.load(bpe.default_path())
     some = [w.encode() for w in ("aaaaaaa", "banana", "thththth", "internationalisation", "zzzzzzzzzzzz", "!!!!!")]
     fast, edges = own.merge(some)
     own.in_order = False
@@ -453,7 +453,7 @@ def test_pipeline_stage_by_stage(spark):
     repeats = {r.doc_id: r.taken // r.size for r in mixing.mix_plan(base).collect() if r.size}
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter({i: n for i, n in repeats.items() if n})
-    encoder = bpe.Encoder(bpe.Vocabulary.load(bpe.DEFAULT_PATH))
+    encoder = bpe.Encoder(bpe.Vocabulary.load(bpe.default_path()))
     for r in got:
         ((ids, decoded),) = encoder.encode([left[r.doc_id]])
         assert r.ids == ids.tolist() and r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
