@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import free
 
@@ -29,11 +30,21 @@ def cuts(df: DataFrame, keys: list[str]) -> list[tuple]:
     wanted = ranges * SAMPLED
     if n <= wanted:
         return []
-    some = thin.sample(min(1.0, wanted / n), 17).orderBy(*ordered(keys)).collect()
+    types = [df.schema[k].dataType for k in keys]
+    some = thin.sample(min(1.0, wanted / n), 17).orderBy(*ordered(keys)).select(*(_out(F.col(f"`{k}`"), t).alias(k) for k, t in zip(keys, types))).collect()
     step = max(1, len(some) // ranges)
     chosen = some[step::step][:ranges]
     width = next((k for k in range(1, len(keys)) if len({r[:k] for r in chosen}) == len(chosen)), len(keys))
-    return list(dict.fromkeys(tuple(r[:width]) for r in chosen))
+    return [r for r in dict.fromkeys(tuple(r[:width]) for r in chosen) if r != (None,)]
+
+
+def _out(c: Column, kind: T.DataType) -> Column:
+    """What stands for a value on the driver; times go as numbers or text, which no time zone changes."""
+    return F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("string") if isinstance(kind, T.TimestampNTZType) else c
+
+
+def _back(value, kind: T.DataType) -> Column:
+    return F.timestamp_micros(F.lit(value)) if isinstance(kind, T.TimestampType) else F.lit(value).cast(kind)
 
 
 def _value(keys: list[str], columns: list[Column]) -> Column:
@@ -62,7 +73,7 @@ def in_ranges(df: DataFrame, keys: list[str], after: bool = False) -> Ranges:
     part, at = free("_part", df), cuts(df, keys)
     keys = keys[: len(at[0])] if at else keys[:1]
     types = [df.schema[k].dataType for k in keys]
-    values = [_value(keys, [F.lit(v).cast(t) for v, t in zip(r, types)]) for r in at]
+    values = [_value(keys, [_back(v, t) for v, t in zip(r, types)]) for r in at]
     here = _value(keys, [F.col(f"`{k}`") for k in keys])
 
     def count(some: Column) -> Column:

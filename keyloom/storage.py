@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +28,21 @@ def run_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: short lineage, and no loss with an executor."""
     path = run_dir(df.sparkSession, what)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that this session has written so; results that read them can't be computed any more. The number removed."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        store, folder = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
+        store.delete_dir(folder)
+    return len(paths)

@@ -87,6 +87,16 @@ def test_moves_over_ranges(spark, kind, keys, monkeypatch):
     assert got == want
 
 
+def test_neighbours_by_time_and_null(spark, monkeypatch):
+    monkeypatch.setattr("keyloom.operators.ordered.SAMPLED", 5)
+    df = spark.range(600).selectExpr("if(id % 9 = 0, null, timestamp_micros(id * 1234567)) as t", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id / 7.0) as n", "-id as d", "id")
+    for key in (["t", "id"], ["n"], ["d"]):
+        t = Table(df.repartition(3), tuple(key))
+        rows = sorted(df.collect(), key=lambda r: tuple((r[k] is not None, r[k]) for k in key))
+        want = {a.id: b[key[-1]] for a, b in zip(rows, rows[1:])} | {rows[-1].id: None}
+        assert {r.id: r.moved[key[-1]] if r.moved else None for r in cursor.move(t, "NEXT").collect()} == want
+
+
 def test_skip(spark):
     t = Table(spark.createDataFrame([(i,) for i in range(10)], "k int"), ("k",))
     for count, start, forward in itertools.product((0, 1, 4, 20), (None, 3, 9, 50), (True, False)):

@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom import storage
 from keyloom.functions import codec
 from keyloom.model import Index, Table
 from keyloom.operators import diff, dml, evolve, index, ttl, views
@@ -170,3 +171,103 @@ def test_store_refuses(spark, tmp_path):
     for bad in (lambda: store.open("b"), lambda: store.remove("b"), lambda: store.rename("b", "c"), lambda: store.rename("a", "a")):
         with pytest.raises(ExistsError):
             bad()
+
+
+def test_written_tables_can_be_cleared(spark):
+    storage.clear(spark)
+    kept = storage.written(spark.range(5), "five")
+    assert kept.count() == 5 and storage.clear(spark) == 1 and storage.clear(spark) == 0
+
+
+def test_set_algebra_with_nulls(spark):
+    left, right = (spark.createDataFrame([(x, y) for x, y in rows_], "k int, v string") for rows_ in ([(1, "a"), (None, "a"), (None, None), (None, None)], [(None, None), (1, None)]))
+    assert rows(views.retain_all(left, right)) == [(None, None), (None, None)]
+    assert rows(views.remove_all(left, right)) == [(1, "a"), (None, "a")]
+    assert not views.contains_all(left, right).first()["contained"] and views.contains_all(left, right.where("k is null")).first()["contained"]
+
+
+def test_disorder_is_found_in_what_is_stored(spark, tmp_path):
+    spark.createDataFrame([(3,), (1,), (2,), (2,)], "k int").coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = diff.stored(spark.read.parquet(f"{tmp_path}/t"), "k")
+    assert diff.disorder(t, "k").first()["out_of_order"] == 1
+    assert rows(diff.misplaced(t, "k")) == [(2, 2)]
+
+
+def test_bytes_not_characters(spark):
+    df = spark.createDataFrame([("é12345",), ("a",), ("",)], "s string")
+    assert [bytes(r.b).decode() for r in df.select(dml.partial_update("s", 2, 2, "X").alias("b")).collect()] == ["éX345", "a\0X", "\0\0X"]
+    assert [bytes(r.b) for r in df.select(dml.partial_read("s", 1, 2).alias("b")).collect()] == ["é1".encode()[1:], b"", b""]
+
+
+def test_a_key_put_twice(spark):
+    t = Table(spark.createDataFrame([(1, "a")], "k int, v string"), ("k",))
+    new = spark.createDataFrame([(1, "c", 2), (1, "b", 1), (2, "x", 1), (2, "x", 9)], "k int, v string, at int")
+    assert rows(dml.put(t, new, order=("at",)).df) == [(1, "c"), (2, "x")]
+    assert rows(dml.put(t.of(t.df.limit(0)), new, "NO_OVERWRITE", order=("at",)).df) == [(1, "b"), (2, "x")]
+    with pytest.raises(PySparkException):
+        dml.put(t, new).df.collect()
+    assert rows(dml.put(t, new.where("k = 2")).df) == [(1, "a"), (2, "x")]
+
+
+def test_sequence_tables(spark):
+    s = dml.Sequences(spark.createDataFrame([], dml.Sequences.SCHEMA)).open("s", 5, 2, 0, 9).open("w", 8, 1, 0, 9, True)
+    s, first = s.take("s", 3)
+    assert rows(first) == [("s", 5, 3)] and s.stats("s").first()["next"] == 11
+    with pytest.raises(PySparkException):
+        s.take("s", 1)[1].collect()
+    assert s.take("w", 3)[1].first()["value"] == 0
+    assert rows(s.remove("s").state.select("name")) == [("w",)]
+
+
+def test_header_lines_that_are_unknown(spark):
+    lines = ["VERSION=3", "format=print", "own=1", "HEADER=END", " k", " v", "DATA=END"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    with pytest.raises(dump.FormatError):
+        dump.load_lines(df)
+    assert rows(dump.load_lines(df, ignore_unknown=True)) == [("k", "v")]
+    with pytest.raises(dump.FormatError):
+        dump.load_pairs(df)
+
+
+def test_log_that_begins_too_late(spark):
+    events = spark.createDataFrame([(5,), (6,)], "seq long")
+    assert cdc.require_sequence(events, 6).count() == 1
+    with pytest.raises(cdc.LogOverwrittenError):
+        cdc.require_sequence(events, 2)
+
+
+def test_negative_or_unknown_time_to_live(spark):
+    df = spark.createDataFrame([(0, -1)], "at long, t int")
+    with pytest.raises(ValueError):
+        ttl.expiration(F.col("at"), F.col("t"), "WEEKS")
+    with pytest.raises(PySparkException):
+        df.select(ttl.expiration(F.col("at"), F.col("t"))).collect()
+
+
+def test_types_and_rows_evolve(spark):
+    mutations = {0: [evolve.RenameType("B")], 2: [evolve.DropType()]}
+    assert evolve.type_name("A", 0, mutations) is None and evolve.type_name("A", 0, {0: mutations[0]}) == "B" and evolve.type_name("A", 3, mutations) == "A"
+    df = spark.createDataFrame([(1, 2)], "k int, old int")
+    assert evolve.evolve(df, 0, mutations).count() == 0
+    with pytest.raises(evolve.IncompatibleError):
+        evolve.evolve(df, 0, {0: [evolve.ConvertRow(lambda x: x, ("old",))]})
+    fields = evolve.model({"t": df}, {"t": ("k",)})
+    assert [(r.field, r.is_key) for r in fields.orderBy("place").collect()] == [("k", True), ("old", False)]
+
+
+def test_blocks_that_agree_are_left_out(spark):
+    a = Table(spark.range(3000).selectExpr("id as k", "id % 7 as v"), ("k",))
+    b = a.of(a.df.withColumn("v", F.when(F.col("k") == 1500, 9).otherwise(F.col("v"))))
+    assert rows(diff.blocks(a, b, 1000).where("not equal").select("block")) == [(1,)]
+    assert rows(diff.block_records(a, b, 1000)) == [(1500, "different")]
+
+
+def test_store_for_reading_and_truncating(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.create("rows", spark.range(3))
+    store.create("by_x", spark.range(3))
+    assert store.truncate_with("rows", ["by_x"]) == 3 and store.open("by_x").count() == 0
+    closed = Store(spark, f"file://{tmp_path}/s", read_only=True)
+    for bad in (lambda: closed.create("c", spark.range(1)), lambda: closed.remove("rows"), lambda: closed.rename("rows", "r")):
+        with pytest.raises(ExistsError):
+            bad()
