@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free, lookup, map_arrow, mix64, text_buffers, written
+from .common import chunks, free, hot_limit, lookup, map_arrow, mix64, text_buffers, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -88,13 +88,16 @@ def _id_type(df: DataFrame, col: str) -> T.DataType:
 
 def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with their set sizes na, nb and the size of the intersection. The pairs of one b, of which a center may have
-    very many, are dealt to many places, each with a copy of its set."""
+    very many, are dealt to as many places as they need, each with a copy of its set."""
     pairs = written(pairs, "pairs")
-    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    centers = counts.join(sets, F.col("b") == F.col("node")).select("b", "n", F.col("shingles").alias("sb"))
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = lookup(with_a, centers, ["b"], "n", pairs.count(), F.col("a"), "_b", size=8 * F.size("sb"))
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("_b.sb").alias("nb"), F.size(F.array_intersect("sa", "_b.sb")).alias("shared"))
+    limit = hot_limit(pairs.count())
+    hot = written(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("b", F.ceil(F.col("n") / max(1, limit)).alias("places")), "hot")
+    places = F.coalesce("places", F.lit(1)).cast("long")
+    left = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), places).alias("place"))
+    right = sets.withColumnRenamed("node", "b").join(F.broadcast(hot), "b", "left")
+    right = right.select("b", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"), F.col("shingles").alias("sb"))
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(right, ["b", "place"])
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
 
 
 def _linked(percent: int) -> Column:
@@ -109,7 +112,7 @@ def _rest(members: DataFrame, labels: DataFrame, stars: DataFrame, sets: DataFra
     """
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    rows = written(lookup(rows, split.select("key", "m"), ["key"], "m", total, F.col("node"), "_b").where("_b is not null").drop("_b"), "open")
+    rows = written(lookup(rows, split.select("key", "m"), ["key"], "m", total, F.col("node"), "_b").where("_b is not null").withColumn("m", F.col("_b.m")).drop("_b"), "open")
     nodes = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
     held = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
     alone = held.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
@@ -118,15 +121,12 @@ def _rest(members: DataFrame, labels: DataFrame, stars: DataFrame, sets: DataFra
     near = stars.select(F.col("a").alias("node"), F.col("b").alias("center"), "shared")
     rows = rows.join(near, ["node", "center"], "left")
     rows = rows.withColumn("inside", F.when(F.col("node") == F.col("center"), F.col("n")).otherwise(F.col("shared"))).drop("shared")
-    rows = written(rows.select("key", "node", "label", "n", "keys", "inside", (F.col("useful") - F.col("inside")).alias("outside")), "open")
+    # a large bucket's rows are dealt to places, each of which has all its rows on the other side
+    places = F.least(F.lit(MOST_PLACES), F.ceil(F.col("m") / BLOCK)).cast("long").alias("places")
+    rows = written(rows.select("key", "node", "label", "n", "keys", "inside", (F.col("useful") - F.col("inside")).alias("outside"), places), "open")
     bound = F.least("x.inside", "y.inside") + F.greatest(F.lit(0), F.least("x.outside", "y.outside"))
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ((100 + percent) * bound >= percent * (F.col("x.n") + F.col("y.n")))
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    # a large bucket's rows are dealt to places, each of which has all its rows on the other side
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
-    rows = lookup(rows, sizes, ["key"], "m", total, F.col("node"), "_m")
-    places = F.least(F.lit(MOST_PLACES), F.ceil(F.col("_m.m") / BLOCK)).cast("long")
-    rows = written(rows.withColumn("places", places).drop("_m"), "placed")
     x = rows.withColumn("place", F.pmod(F.xxhash64("node"), F.col("places")))
     y = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.place"))
