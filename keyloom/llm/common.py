@@ -78,13 +78,13 @@ def lookup(
     side = table.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.struct(*values).alias(value), (F.lit(0) if size is None else size).alias(at))
     n = F.col(f"{value}.{count}")
     small = F.col(at) <= HOT_BYTES
-    wanted = F.when(small, 0).otherwise(F.ceil(n / limit))
+    wanted = F.when(small, 0).otherwise(F.ceil(n / max(1, limit)))
     hot = side.where(n > limit).select(*own, F.when(small, F.col(value)).alias(hot_value), wanted.cast("long").alias(places))
     # 0 for cold keys, but no constant: a constant would leave the join's keys, and the rows of hot keys would meet by key after all
     if size is None:
         cold = side.where(n <= limit).withColumn(at, F.pmod(n, F.lit(1)).cast("long"))
     else:
-        cold = side.where((n <= limit) | ~small).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.when(n <= limit, 0).otherwise(F.ceil(n / limit) - 1).cast("long"))))
+        cold = side.where((n <= limit) | ~small).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.when(n <= limit, 0).otherwise(F.ceil(n / max(1, limit)) - 1).cast("long"))))
     on = functools.reduce(lambda a, b: a & b, (rows[k] == hot[o] for k, o in zip(keys, own)))
     marked = rows.join(F.broadcast(hot), on, "left").drop(*own)
     served = functools.reduce(lambda a, b: a | b, (F.col(f"`{k}`").isNull() for k in keys), F.col(hot_value).isNotNull())
