@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, free, written
 
 #: Over so many sources, their table is joined by shuffling instead of being broadcast.
 BROADCAST_SOURCES = 100_000
@@ -77,7 +77,28 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: st
     return written(ends, "ends"), small
 
 
-def mix_sources(
+def words_of(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _decide(rows: DataFrame, id_col: str, source_col: str, size_col: str, into: tuple[str, str, str], sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
+    """rows with the columns `into`: source_size, target and the times that the mix takes the row. No other column is touched."""
+    ends, small = _plan(sized, weights, max_repeats, seed)
+    at, source, plan = (free(n, rows) for n in ("_at", "_source", "_plan"))
+    side = ends.select(F.col("source").alias(source), F.struct("source_size", "target", *(f"_end{r}" for r in range(max_repeats))).alias(plan))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    placed = rows.withColumn(at, F.struct(shuffle_key(F.col(f"`{id_col}`"), seed).alias("place"), F.col(f"`{id_col}`").alias("id")))
+    placed = placed.join(F.broadcast(side) if small else side, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
+    taken = sum((F.coalesce(F.col(at) <= F.col(f"{plan}._end{r}"), F.lit(False)).cast("int") for r in range(max_repeats)), F.lit(0))
+    repeats = F.when(F.col(f"`{size_col}`") > 0, taken).otherwise(0)
+    return placed.select(*names, F.col(f"{plan}.source_size").alias(into[0]), F.col(f"{plan}.target").alias(into[1]), repeats.alias(into[2]))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_of(text_col).alias("size")), "sized")
+
+
+def mix_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -86,42 +107,34 @@ def mix_sources(
     max_repeats: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
-    """docs with size (words), source_size, target (of its source) and repeats (times the mix takes the row) added.
+    """The id, size (words), source_size, target (of its source) and taken (words that the mix takes of it) for each row of docs.
 
     Each source queues its rows in the order of a hash of seed and id, again and again up to max_repeats times. A
     row's virtual finish time is the words queued through it divided by its source's target; the mix takes rows in
-    order of finish time while its words stay within the words of all docs. Null text has size 0, and rows of size
-    0 are never taken; null is a source of its own; rows repeated with the same id count each and are taken
-    alike. An empty table gives an empty mix. Nothing but one row per source is broadcast.
-    """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
-    return _decide(docs.drop("size", "source_size", "target", "repeats").withColumn("size", size), id_col, source_col, sized, weights, max_repeats, seed)
-
-
-def _decide(rows: DataFrame, id_col: str, source_col: str, sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
-    ends, small = _plan(sized, weights, max_repeats, seed)
-    names = rows.columns
-    rows = rows.withColumns({"_at": F.struct(shuffle_key(F.col(id_col), seed).alias("place"), F.col(id_col).alias("id"))})
-    side = ends.select(F.col("source").alias("_source"), "source_size", "target", *(f"_end{r}" for r in range(max_repeats)))
-    rows = rows.join(F.broadcast(side) if small else side, rows[source_col].eqNullSafe(side["_source"]))
-    taken = sum((F.coalesce(F.col("_at") <= F.col(f"_end{r}"), F.lit(False)).cast("int") for r in range(max_repeats)), F.lit(0))
-    return rows.select(*(F.col(f"`{c}`") for c in names), "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("repeats"))
+    order of finish time while its words stay within the words of all docs. Ties of finish time go by source, place and id.
 
-
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken (words of the row in the mix) for each row of documents.
-
-    As mix_sources, from the thin table of sizes: each text is read once.
+    Null and empty texts have size 0, and rows of size 0 are never taken; texts of any length count whole; null is a
+    source of its own; rows repeated with the same id count each and are taken alike. An empty table gives an empty
+    result. Each text is read once. Other columns of docs, whatever their names, play no part. One row per source is
+    broadcast, up to BROADCAST_SOURCES.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = written(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size")), "sized")
-    out = _decide(sized, "id", "source", sized, weights, max_repeats, seed)
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+    sized = _sized(docs, id_col, text_col, source_col)
+    out = _decide(sized, "id", "source", "size", ("source_size", "target", "repeats"), sized, weights, max_repeats, seed)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows and columns, each as often as the mix takes it."""
-    names = docs.columns
-    plan = mix_sources(docs, **options)
-    return plan.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*(F.col(f"`{c}`") for c in names))
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_repeats: int = 3,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: docs' rows and columns, whatever their names, each as often as the mix takes it; all else as mix_plan()."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    size, a, b, repeats, copy = (free(n, docs) for n in ("_size", "_a", "_b", "_repeats", "_copy"))
+    rows = docs.withColumn(size, words_of(text_col))
+    plan = _decide(rows, id_col, source_col, size, (a, b, repeats), _sized(docs, id_col, text_col, source_col), weights, max_repeats, seed)
+    return plan.where(F.col(repeats) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeats)))).select(*names)
