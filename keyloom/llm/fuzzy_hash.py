@@ -133,33 +133,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerpri
     return map_arrow(docs.select(docs[text_col].alias(free("_text", docs)), *(docs[k] for k in keep)), run, schema)
 
 
-def in_runs(docs: DataFrame, id_col: str, rows_per_run: int) -> tuple[DataFrame, list]:
-    """docs cut into runs of ids, each with a column _run, from the largest ids down: the boundaries come from quantiles of the ids.
-
-    Boundaries are numbers on the driver, as many as there are runs; a boundary only decides where a run ends.
-    """
-    n = docs.count()
-    runs = max(1, min(10_000, -(-n // rows_per_run)))
-    if runs == 1:
-        return docs.withColumn("_run", F.lit(0)), []
-    cuts = docs.stat.approxQuantile(id_col, [i / runs for i in range(1, runs)], 0.1 / runs)
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    return docs.withColumn("_run", _run_of(F.col(id_col), cuts)), cuts
-
-
-def _run_of(value, cuts: list[int]):
-    """How many cuts are over the value, found in two steps of about the square root of their number; null ids come last."""
-    if not cuts:
-        return F.lit(0)
-    rising = sorted(cuts)
-    step = max(1, round(len(rising) ** 0.5))
-    fine, coarse = (F.array(*(F.lit(c).cast("long") for c in x)) for x in (rising, rising[::step]))
-    block = F.size(F.filter(coarse, lambda c: c <= value))
-    inside = F.size(F.filter(F.slice(fine, F.greatest(block - 1, F.lit(0)) * step + 1, step), lambda c: c <= value))
-    under = F.when(block == 0, 0).otherwise((block - 1) * step + inside)
-    return F.when(value.isNull(), F.lit(len(rising))).otherwise(F.lit(len(rising)) - under).cast("int")
-
-
 #: Rows of a range at most, on average; there are as many ranges as shuffle partitions, or more.
 RANGE_ROWS = 100_000
 
