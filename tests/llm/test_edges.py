@@ -174,3 +174,61 @@ def test_warc(pages, least):
         first = i is None or len(b) < least or i == top[h or ""]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else top[h or ""]))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ids_may_be_strings(spark):
+    rows = [("b", "http://h/1", "<p>x</p>"), ("a/ü>", "http://h/2", "<p>x</p>"), (None, "http://h/3", "<p>x</p>"), ("c", "http://h/4", "<p>y</p>")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()), key=str)
+    assert got == sorted([("a/ü>", "revisit", "b"), ("b", "response", None), (None, "response", None), ("c", "response", None)], key=str)
+    texts = {f"k{i}": f"text {i} " * i for i in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(3)
+    order = sorted(texts, reverse=True)
+    for r in fuzzy_hash.compare_edited(df).collect():
+        t, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % 12]]
+        cut = len(t) // 3
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
+
+
+#: Names that the operators use inside.
+CLASHES = ["_h", "_s", "_t", "_r", "_many", "_label", "_text", "_toxicity", "_gone", "_at", "_source", "_plan", "_copy", "size", "source_size", "target", "repeats", "_size", "_k0", "_v", "_hot", "_place", "_places", "_row", "_bits", "h", "s", "n", "id", "node", "label", "kept", "keep_id"]
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    texts = [(i, f"{'copy ' * 7 if i % 3 == 0 else ''}word{i % 5} " + " ".join(f"w{i}x{k}" for k in range(12 * (i % 3))), "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame([(i, t, s, *(f"{c}:{i}" for c in CLASHES)) for i, t, s in texts], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    for left in (toxicity.drop_toxic(df, labels), exact_dedup.exact_dedup(df), minhash.drop_near_duplicates(df), mixing.mixed(df)):
+        assert left.columns == df.columns
+        rows = left.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHES)
+    for made in (minhash.near_duplicates(df), fuzzy_hash.compare_edited(df), exact_dedup.exact_plan(df), mixing.mix_plan(df), quality.score_quality(df), secrets.scan(df), bpe.encode_table(df), toxicity.score_documents(df, labels)):
+        assert made.count() == 60
+
+
+def test_secrets_in_very_long_texts(spark):
+    secret = "é password=abcdef123 " + "0a" * 20 + " 4111 1111 1111 1111 "
+    text = ("ü word " * 200_000) + secret + ("more " * 200_000)
+    (r,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_assign, r.n_access, r.n_hex) == (1, 0, 1)
+    found = [tuple(x.split(":")) for x in r.spans.split(",")]
+    assert [text[int(a) : int(b)] for _, a, b in found] == ["password=abcdef123", "0a" * 20, "4111 1111 1111 1111"]
+
+
+def test_labels_that_say_nothing(spark):
+    """Ties and repeated rows: equal texts score alike, whatever their ids."""
+    df = spark.createDataFrame([(i, "same words here") for i in range(20)] + [(5, "same words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.score_documents(df, labels).collect()}) == 1
+    assert len({(r.weak_label, r.score) for r in quality.score_quality(df).collect()}) == 1
+
+
+@pytest.mark.parametrize("given", [ROWS, []], ids=["rows", "empty"])
+def test_pipeline_of_odd_rows(spark, tmp_path, given):
+    import corpus_pipeline
+
+    docs(spark, given).withColumn("_text", F.lit("t")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {i for i, t, _ in given if words(t)}
+    assert bool(got) == bool(given)
+    assert all(r.n_tokens == len(r.ids) > 0 for r in got)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import bpe, components, exact_dedup, fuzzy_hash, html_extract, minhash, mixing, quality, secrets, toxicity, warc
+from keyloom.llm.common import lookup
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+SMALL, LARGER, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.exists(SMALL), reason="the driver's tables are not here")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -466,3 +467,125 @@ def test_exact_copies_spread_over_partitions(spark):
     got = exact_dedup.exact_plan(df, keep="largest").where("group_size > 1").select("keep_id", "group_size").distinct().collect()
     assert [tuple(r) for r in got] == [(597, 200)]
     assert exact_dedup.exact_dedup(df).count() == 401
+
+
+def slow_fingerprint(data):
+    """A fingerprint byte by byte: the window's hash is computed anew at each byte, each chunk's at its end."""
+    full, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def polynomial(piece):
+        return sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(piece)) & full
+
+    def chunks_at(block):
+        out, begin = [], 0
+        for i in range(len(data)):
+            rolled = mix(polynomial(data[max(0, i + 1 - fuzzy_hash.WINDOW) : i + 1])) >> 20
+            if rolled % block == block - 1 or i + 1 - begin == 2 * block or i + 1 == len(data):
+                out.append(data[begin : i + 1])
+                begin = i + 1
+        return out
+
+    size = 3
+    while size * 48 < len(data):
+        size *= 2
+    if not data:
+        return f"{size}::"
+    while size > 3 and len(chunks_at(size)) < 24 and len(chunks_at(size // 2)) <= 64:
+        size //= 2
+    digits = fuzzy_hash.DIGITS.tobytes().decode()
+    parts = ["".join(digits[mix((polynomial(c) + len(c)) & full) >> 58] for c in chunks_at(b)) for b in (size, 2 * size)]
+    return f"{size}:{parts[0]}:{parts[1]}"
+
+
+def test_fingerprints_byte_by_byte():
+    r = random.Random(31)
+    texts = [b"", b"a", b"ab" * 40, bytes(range(256)), "é" * 100 + "x"] + [some_words(r, n) for n in (3, 20, 80, 200)]
+    for t in texts:
+        t = t.encode() if isinstance(t, str) else t
+        assert fuzzy_hash.fingerprint(np.frombuffer(t, np.uint8)) == slow_fingerprint(t)
+
+
+@needs_data
+def test_edited_texts_of_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    prints = {i: fuzzy_hash.printed(t) for i, t in texts.items()}
+    rows = fuzzy_hash.compare_edited(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t, after = texts[r.doc_id], order[(order.index(r.doc_id) + 1) % len(order)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + texts[after][:cut]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[r.doc_id])
+        assert r.edited_fingerprint == fuzzy_hash.printed(edited)
+        near = fuzzy_hash.likenesses([(r.fingerprint, r.edited_fingerprint), (r.fingerprint, prints[after])])
+        assert (r.near_edited, r.near_next) == tuple(near)
+
+
+@needs_data
+def test_near_duplicates_lose_no_link(spark):
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute_components(texts)
+
+
+@needs_data
+def test_encoding_of_documents(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    for r in bpe.encode_table(df, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).collect():
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_members_are_inflated_piece_by_piece():
+    """A record that would inflate to far more than its content length is refused before it has."""
+    import tracemalloc
+
+    lie = warc.record_bytes("response", 1, "http://x", b"", warc.digest_of(b""), None)
+    head = zlib.decompress(lie, 31)
+    pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = pack.compress(head) + b"".join(pack.compress(b"0" * (1 << 20)) for _ in range(200)) + pack.flush()
+    tracemalloc.start()
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(bomb)))
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    big = os.urandom(3 << 20)
+    whole = warc.record_bytes("response", 1, "http://x", big, warc.digest_of(big), None)
+    assert [r.block for r in warc.read_records(io.BytesIO(whole * 2))] == [big, big]
+    assert [r.block for r in warc.read_records(io.BytesIO(whole), blocks=False)] == [b""]
+
+
+@pytest.mark.parametrize("places", [1, 3])
+def test_near_copies_in_dealt_buckets(spark, monkeypatch, places):
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "MOST_PLACES", places)
+    monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", 4)
+    monkeypatch.setattr("keyloom.llm.common.HOT_BYTES", 64)
+    texts = near_group(90, 6)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute_components(texts)
+
+
+@pytest.mark.parametrize("hot_bytes", [0, 4096])
+def test_lookups_of_hot_keys(spark, monkeypatch, hot_bytes):
+    monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", 10)
+    monkeypatch.setattr("keyloom.llm.common.HOT_BYTES", hot_bytes)
+    rows = spark.range(400).selectExpr("if(id % 2 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 40))) as k", "id as _v", "id as _place", "id")
+    table = rows.where("k is not null and k != 'k3'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    want = {r.k: (r.n, r.top) for r in table.collect()}
+    for size in (None, F.lit(100)):
+        got = lookup(rows, table, ["k"], "n", 400, F.col("id"), "found", size=size).collect()
+        assert len(got) == 400 and all(r._v == r._place == r.id for r in got)
+        assert all((tuple(r.found) if r.found else None) == want.get(r.k) for r in got)
