@@ -90,6 +90,15 @@ def in_ranges(df: DataFrame, keys: list[str], after: bool = False) -> Ranges:
     return Ranges(df.withColumn(part, number), part, keys, values, here)
 
 
+def _same(part: str, near: str) -> Column:
+    """Whether two rows are of one range. Of sums: where columns are equal, Spark 4.1 puts one's expression for the other.
+
+    It then takes the key for the lambda's variable if the key has the id that it gives the latter, 1 (the second column
+    of a session's first table), and filters by it where there is no key.
+    """
+    return F.col(part) + 1 == F.col(near) + 1
+
+
 def _beyond(r: Ranges, value: Column, order: Column, forward: bool, near: str, into: str) -> DataFrame:
     """For each range (near) the first row of the one after it, or with a backward movement the last of the one before it."""
     edges = r.at_cuts() if r.cuts else r.rows.limit(0)
@@ -107,7 +116,7 @@ def neighbour(df: DataFrame, keys: list[str], into: str, values: list[str], forw
     value, key = F.struct(*(F.col(f"`{v}`").alias(v) for v in values)), F.struct(*(F.col(f"`{k}`") for k in keys))
     edges = _beyond(r, value, key, forward, near, beyond)
     window = Window.partitionBy(r.part).orderBy(*ordered(keys, not forward))
-    out = r.rows.withColumn(inside, F.lead(value).over(window)).join(F.broadcast(edges), F.col(r.part) == F.col(near), "left")
+    out = r.rows.withColumn(inside, F.lead(value).over(window)).join(F.broadcast(edges), _same(r.part, near), "left")
     return out.withColumn(into, F.coalesce(inside, beyond)).drop(inside, beyond, near, r.part)
 
 
@@ -134,7 +143,7 @@ def neighbour_key(df: DataFrame, key: list[str], order: list[str], into: str, fo
         after, last_key = F.lead("first").over(walk), F.struct(*(F.col(f"final.`{k}`").alias(k) for k in key))
         edges = edges.withColumn("entry", F.when(~last_key.eqNullSafe(after), F.col("final")).otherwise(F.col("turn")))
         edges = edges.select(near, F.last("entry", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, -1)).alias(beyond))
-    out = rows.withColumn(inside, passed).join(F.broadcast(edges), F.col(r.part) == F.col(near), "left")
+    out = rows.withColumn(inside, passed).join(F.broadcast(edges), _same(r.part, near), "left")
     return out.withColumn(into, F.coalesce(inside, beyond)).drop(turn, inside, beyond, near, r.part)
 
 
@@ -153,7 +162,7 @@ def running(df: DataFrame, keys: list[str], value: Column, into: str, reverse: b
     before = Window.orderBy(F.col(near).desc() if reverse else F.col(near).asc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     sums = sums.select(near, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(earlier))
     window = Window.partitionBy(part).orderBy(*ordered(keys, reverse)).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(within, F.sum(held).over(window)).join(F.broadcast(sums), F.col(part) == F.col(near))
+    out = rows.withColumn(within, F.sum(held).over(window)).join(F.broadcast(sums), _same(part, near))
     return out.withColumn(into, F.col(within) + F.col(earlier)).drop(held, within, earlier, near, part)
 
 

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +146,28 @@ def test_numbers_over_partitions(spark):
     for n, v in enumerate(sorted(values), 1):
         total += v
         assert got[v] == (n, total)
+
+
+FIRST_TABLE = """
+from pyspark.sql import SparkSession, functions as F
+from keyloom.model import Table
+from keyloom.operators import cursor, ordered
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.range(2000).select((F.col("id") % 300).alias("a"), "id")
+assert "AS a#1L" in rows._jdf.queryExecution().analyzed().toString()
+ordered.SAMPLED = 5
+pairs = sorted((i % 300, i) for i in range(2000))
+got = cursor.numbered(rows, ["a", "id"]).collect()
+assert sorted(tuple(r) for r in got) == [(*p, n + 1) for n, p in enumerate(pairs)]
+t = Table(rows, ("a",), ("id",))
+for kind, beside in (("NEXT", pairs[1:] + [None]), ("PREV", [None] + pairs[:-1])):
+    assert sorted((r.a, r.id, tuple(r.moved) if r.moved else None) for r in cursor.move(t, kind).collect()) == [(*p, q) for p, q in zip(pairs, beside)], kind
+for kind, step in (("NEXT_NO_DUP", 1), ("PREV_NO_DUP", -1)):
+    assert all((r.moved.a if r.moved else None) == (r.a + step if 0 <= r.a + step < 300 else None) for r in cursor.move(t, kind).collect()), kind
+"""
+
+
+def test_key_is_second_column_of_first_table():
+    """In a process of its own: ids of columns count from the session's first."""
+    run = subprocess.run([sys.executable, "-c", FIRST_TABLE], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
