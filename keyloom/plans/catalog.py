@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -890,9 +890,14 @@ def ttl_absolute(spark, d):
     return e.select("event_id", ttl.ttl_of(F.col("e"), F.lit(NOW)).alias("hours"), after.alias("after"))
 
 
+def _rounded_ms(ts: str) -> Column:
+    """The milliseconds of a time as epoch_ms has them: the nearest, of two as near the one farther from 1970."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+
+
 def _expiring(spark, d, unit: str) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return read(spark, d, "events").select("event_id", "user_id", ttl.expiration(ms, F.col("event_id") % 31, unit).alias("expires_ms"))
+    return read(spark, d, "events").select("event_id", "user_id", ttl.expiration(_rounded_ms("ts"), F.col("event_id") % 31, unit).alias("expires_ms"))
 
 
 def _expiring_sql(ms: int) -> str:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from keyloom import storage
 from keyloom.functions import codec
 from keyloom.model import Index, Table
 from keyloom.operators import diff, dml, evolve, index, ttl, views
+from keyloom.plans import catalog
 from keyloom.sources import dump, stats
 from keyloom.sources.store import ExistsError, Store
 from keyloom.streaming import cdc
@@ -271,3 +273,23 @@ def test_store_for_reading_and_truncating(spark, tmp_path):
     for bad in (lambda: closed.create("c", spark.range(1)), lambda: closed.remove("rows"), lambda: closed.rename("rows", "r")):
         with pytest.raises(ExistsError):
             bad()
+
+
+def agrees_on_events(spark, folder, name, times):
+    """Whether a query of events at these times returns what its SQL does."""
+    made = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(times)], "event_id long, ts string, user_id long")
+    made.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+        want = db.execute(catalog.SQL[name]).fetchall()
+    got = catalog.QUERIES[name](spark, str(folder))
+    return len(want) > 0 and rows(got) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["ttl_hours", "ttl_days"])
+def test_times_within_a_millisecond_of_a_unit(spark, tmp_path, name):
+    """Half a millisecond after a full hour counts as a whole one, so that the next hour is the row's."""
+    part = ("000000", "000001", "000499", "000500", "000501", "000999", "001000", "001499", "001500")
+    times = [f"2024-01-{day} {hour}:00:00.{us}" for day in (14, 15, 16) for hour in ("00", "07", "23") for us in part]
+    before = [f"2024-01-{day} {hour}:59:59.{us}" for day in (14, 15, 16) for hour in ("06", "23") for us in ("999", "999499", "999500", "999999")]
+    assert agrees_on_events(spark, tmp_path, name, times + before)
